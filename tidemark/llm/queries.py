@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import norm_id, norm_name
-from tidemark.llm import cooccur, langid, leakage, packing, setjoin
+from tidemark.llm import canonical, cooccur, langid, leakage, packing, setjoin
 from tidemark.sources.tables import load
 
 #: Least jaccard of similar releases, and least number of their benchmarks.
@@ -31,6 +31,20 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.links(pairs, members).select(F.col("id").alias("model_row_id"), "class_id", "links")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark meant by each value that the exact lookup did not resolve, or `unmatched`."""
+    seen = load(spark, d, "resolutions")
+    often = seen.where("match_source is not null").groupBy(norm_id("benchmark_id").alias("target")).agg(F.count("*").alias("n"))
+    names = load(spark, d, "benchmarks").select(F.col("benchmark_name").alias("name"), norm_id("benchmark_id").alias("target")).where("target is not null").distinct()
+    aliases = load(spark, d, "benchmark_aliases").select(F.col("alias").alias("name"), norm_id("benchmark_id").alias("named")).distinct()
+    live = names.select("target").distinct()
+    aliases = aliases.join(live, aliases.named == live.target, "left").select("name", "target")  # a target that is not there names nothing
+    entries = names.unionByName(aliases).join(often, "target", "left").select("name", "target", "n")
+    providers = load(spark, d, "models").select(F.trim("provider").alias("provider"))
+    found = canonical.map_to_canonical(seen.where("match_source is null"), "resolution_id", "raw_mention", entries, providers)
+    return found.select("resolution_id", F.col("target").alias("benchmark_id"))
+
+
 def _pair_table(spark: SparkSession, d: str) -> cooccur.PairTable:
     table = cooccur.PairTable(spark)
     table.apply(load(spark, d, "mentions").select(norm_name("model_name").alias("basket"), norm_id("benchmark_id").alias("item")))
@@ -75,7 +89,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _stretches(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_scores, p7_packed, p8_found, p9_found, p9_stretches)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p6_found, p6_scores, p7_packed, p8_found, p9_found, p9_stretches)}
 
 _SETS = """with m as (select distinct model_row_id r, lower(trim(benchmark_id)) b from mentions where nullif(trim(benchmark_id), '') is not null),
 s as (select r, count(*) n, md5(string_agg(b, '|' order by b)) h from m group by r having count(*) >= 4),
