@@ -240,15 +240,15 @@ def label_languages(c: Column) -> Column:
 
 
 def fit_profiles(documents: DataFrame, doc_id: str, text: str, lang: str, documents_used: int = TRAIN_DOCUMENTS, dimension: int = DIMENSION) -> Profiles | None:
-    """Prototypes from a bounded sample: of each language, the documents with the least hash of their id among those of
-    TRAIN_CHARS characters whose label names a language, `documents_used` in all. None where no text is labelled."""
-    rows = documents.select(F.col(doc_id).alias("d"), label_language(F.col(lang)).alias("l"), F.col(text).alias("t"))
-    rows = rows.where(F.col("l").isNotNull() & F.length("t").between(*TRAIN_CHARS)).withColumn("h", F.xxhash64("d"))
-    each = max(1, documents_used // len(SPELLINGS))
-    chosen = None
-    for name in SPELLINGS:
-        part = rows.where(F.col("l") == name).sort("h", "d").limit(each)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    """Prototypes from a bounded sample of `documents_used` labelled documents of TRAIN_CHARS characters, drawn by a hash of their id so that each
+    language has about the same number. None where no text is labelled. The labels are counted first, then the texts are read once."""
+    rows = documents.select(F.col(doc_id).alias("d"), label_language(F.col(lang)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull())
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # at most one row a language
+    if not sizes:
+        return None
+    often = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    drawn = F.pmod(F.xxhash64("d"), F.lit(2**52)).cast("double") * often[F.col("l")]
+    chosen = rows.where(F.length("t").between(*TRAIN_CHARS)).withColumn("at", drawn).sort("at", "d").limit(documents_used)
     got = chosen.select("d", "l", "t").collect()  # bounded: documents_used texts of TRAIN_CHARS[1] characters at most
     got.sort(key=lambda r: (r.l, str(r.d)))
     return train([r.t for r in got], [r.l for r in got], dimension) if got else None
