@@ -144,7 +144,7 @@ class PairTable:
             touched = [str(b) for b in range(self.buckets)]
         # the hash of the pair is the key of this shuffle too, so a bucket is written by few tasks
         deltas.select("*", bucket).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{at}/pairs")
-        there = {str(r.bucket) for r in spark.read.schema(_PAIRS + ", bucket int").parquet(f"{at}/pairs").select("bucket").distinct().collect()} if pairs else set(touched)
+        there = {str(r.bucket) for r in spark.read.schema(_PAIRS + ", bucket int").parquet(f"{at}/pairs").select("bucket").distinct().collect()}
         for b in touched:
             pairs.pop(b, None)
             if b in there:

@@ -248,7 +248,9 @@ def fit_profiles(documents: DataFrame, doc_id: str, text: str, lang: str, docume
         return None
     often = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
     drawn = F.pmod(F.xxhash64("d"), F.lit(2**52)).cast("double") * often[F.col("l")]
-    chosen = rows.where(F.length("t").between(*TRAIN_CHARS)).withColumn("at", drawn).sort("at", "d").limit(documents_used)
+    # about four times the sample passes this bound, whatever the size of the table, so that tasks send few texts to the driver
+    few = F.col("at") < 4.0 * documents_used / len(sizes) * 2**52
+    chosen = rows.withColumn("at", drawn).where(few).where(F.length("t").between(*TRAIN_CHARS)).sort("at", "d").limit(documents_used)
     got = chosen.select("d", "l", "t").collect()  # bounded: documents_used texts of TRAIN_CHARS[1] characters at most
     got.sort(key=lambda r: (r.l, str(r.d)))
     return train([r.t for r in got], [r.l for r in got], dimension) if got else None

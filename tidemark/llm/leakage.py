@@ -191,6 +191,8 @@ class Scanner:
         for group in groups:
             if sum(diagonals[d] for d in group) + (self.seed - 1) * len(group) < self.least[s] // 3:
                 continue
+            if len(group) > 1:  # runs between two alterations may be too short for a seed
+                group = list(range(group[0], group[-1] + 1))
             lines = []
             for d in group:
                 line = np.zeros(m, bool)
@@ -208,23 +210,32 @@ class Scanner:
         return most / m if most >= self.least[s] else None
 
     def _path(self, lines: list[np.ndarray], shifts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The best way through the diagonals: which words agree, and how many were put in where it changes from one to
-        another (words that are missing show as disagreement)."""
+        """The best way through the diagonals: which words of the item agree, and how many were put in before each. A step to a
+        higher diagonal is a word put in; on the way to a lower one the missing words disagree. No word of the document is used twice."""
         k, m = len(lines), len(lines[0])
+        at = np.array(shifts)
+        rise = np.subtract.outer(at, at)  # to, from
+        step = np.where(rise > 0, rise, -0.01 * rise).astype(float)
         cost = np.zeros((m + 1, k))
         back = np.zeros((m + 1, k), int)
-        step = np.abs(np.subtract.outer(np.array(shifts), np.array(shifts))).astype(float)
+        agree = np.array(lines)
         for j in range(m):
             reach = cost[j][None, :] + step
             back[j + 1] = reach.argmin(1)
-            cost[j + 1] = reach.min(1) + ~np.array([line[j] for line in lines])
-        at = int(cost[m].argmin())
-        same, extra = np.zeros(m, bool), np.zeros(m, int)
+            cost[j + 1] = reach.min(1) + ~agree[:, j]
+        now = int(cost[m].argmin())
+        same, extra, used = np.zeros(m, bool), np.zeros(m, int), np.zeros(m, int)
         for j in range(m - 1, -1, -1):
-            same[j] = lines[at][j]
-            was = back[j + 1][at]
-            extra[j] = step[at, was]
-            at = int(was)
+            same[j], used[j] = agree[now, j], j + shifts[now]
+            was = int(back[j + 1][now])
+            extra[j] = max(0, shifts[now] - shifts[was]) if j else 0
+            now = was
+        last = -1
+        for j in np.nonzero(same)[0]:
+            if used[j] <= last:
+                same[j] = False
+            else:
+                last = used[j]
         return same, extra
 
 
