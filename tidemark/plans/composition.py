@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.vocab import CONFIDENCE, CONSTRUCT_AXES, HEADLINE_RULES
+from tidemark.operators.facets import headline_projection
 from tidemark.operators.shares import dedup_mentions, facet_weights, joined, ratio, ratio_or_zero, top_labels
 from tidemark.operators.sizes import lookup_join
 from tidemark.operators.trends import lanes, moving_ratio, rolling_share
@@ -217,6 +219,11 @@ def domain_trend(spark: SparkSession, d: str) -> DataFrame:
     return rolling_share(top_labels(w, "facet_label", "lw", 3), "release_date", "facet_label", "lw", CUTOFF, WINDOW_DAYS)
 
 
+def headline_projections(spark: SparkSession, d: str) -> DataFrame:
+    """The headline projection that each benchmark's labels give by the rules in their order."""
+    return headline_projection(base.facets(spark, d))
+
+
 def timeline_lanes(spark: SparkSession, d: str) -> DataFrame:
     """Lanes for the releases of a timeline chart with labels 30 days wide."""
     rows = base.releases(spark, d).select("provider", "release_date", F.format_string("%s #%012d", "model_name", "model_row_id").alias("label"))
@@ -225,7 +232,7 @@ def timeline_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     benchmark_flags, provider_period_summary, axis_shares, benchmark_drivers, facet_status_summary, launch_density, covered_portfolio, signature_lift, release_frames, annual_frames, sensitivity, fingerprints, pair_flow,
-    review_leverage, review_leverage_top, lifecycle_table, long_context_case, release_counts_smoothed, timeline_status, domain_trend, timeline_lanes,
+    review_leverage, review_leverage_top, lifecycle_table, long_context_case, release_counts_smoothed, timeline_status, domain_trend, headline_projections, timeline_lanes,
 )}
 
 
@@ -275,3 +282,12 @@ s as (select sp.d, q.c, coalesce(sum(lw) over w, 0) w, coalesce(sum(n) over w, 0
 select d "day", c category, case when sum(n) over (partition by d) > 0 then round(w / sum(w) over (partition by d), 6) end share from s""",
 }
 SQL["review_leverage_top"] = "select benchmark_id, review_leverage, nonaccepted_share from (" + SQL["review_leverage"] + ") order by review_leverage desc, benchmark_id limit 10"
+
+
+def _rule(spec: dict) -> str:
+    return "bool_or(" + " or ".join(f"(axis = '{a.removeprefix('!')}' and label {'not ' * (a[0] == '!')}in ({', '.join(repr(x) for x in ls)}))" for a, ls in spec.items()) + ")"
+
+
+_RULE_AXES = sorted({a.removeprefix("!") for _, r in HEADLINE_RULES for a in r})
+SQL["headline_projections"] = VIEWS + f""", x as (select benchmark_id, case when facet_axis in {CONSTRUCT_AXES} then 'construct_claim' else facet_axis end axis, lower(trim(facet_label)) label, confidence from fac)
+select * from (select benchmark_id, case {" ".join(f"when {_rule(r)} then '{n}'" for n, r in HEADLINE_RULES)} end projection, coalesce(min(confidence), {CONFIDENCE}) confidence from x where axis in {tuple(_RULE_AXES)} group by 1) where projection is not null"""
