@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.sizes import heavy_keys
+from tidemark.session import written
 
 #: Keys with this share of the rows or more get their quantiles by refined histograms.
 HOT_SHARE = 0.002
@@ -59,7 +60,8 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float] =
     if not probs or not all(0 <= p <= 1 for p in probs):
         raise ValueError("probs must be between 0 and 1")
     spark, kind = df.sparkSession, df.schema[value].dataType
-    rows = df.select(F.col(key).alias("key"), _as_long(value, kind).alias("v")).where("key is not null and v is not null")
+    # two narrow columns, written once, as every pass reads them
+    rows = written(df.select(F.col(key).alias("key"), _as_long(value, kind).alias("v")).where("key is not null and v is not null"), "quantiles")
     hot = [r.key for r in heavy_keys(rows, "key", hot_share).select("key").collect()]
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
     picks = [F.expr(f"percentile_disc({p!r}D) within group (order by v)").cast("bigint").alias(f"q{i}") for i, p in enumerate(probs)]

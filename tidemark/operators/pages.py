@@ -129,21 +129,23 @@ def scan_aliases(fragments: DataFrame, page_id: str, kind: str, text: str, alias
 
 
 class AliasFinder:
-    """Finds aliases in texts. A word index picks the aliases whose first word occurs before any pattern is tried."""
+    """Finds aliases in texts. An alias is tried only where all of its words occur in the text, and only at the places of its first word."""
 
     def __init__(self, aliases: list[tuple[str, str]]):
-        self.by_word: dict[str, list[tuple[re.Pattern, str, str]]] = {}
+        self.by_word: dict[str, list[tuple[re.Pattern, str, str, frozenset[str], str]]] = {}
         for alias, target in sorted(aliases, key=lambda x: (-len(x[0]), x[0])):
             alias = exact_text(alias)
-            word = re.search("[A-Za-z0-9]+", alias)
-            self.by_word.setdefault(word.group().lower() if word else "", []).append((re.compile(alias_pattern(alias)), alias, target))
+            words = [w.lower() for w in re.findall("[A-Za-z0-9]+", alias)]
+            first = words[0] if words and alias[0].isascii() and alias[0].isalnum() else ""
+            self.by_word.setdefault(first, []).append((re.compile(alias_pattern(alias)), alias, target, frozenset(words), first))
 
     def hits(self, text: str, score: float) -> list[tuple[str, str, str, float, str]]:
-        words = {w.lower() for w in re.findall("[A-Za-z0-9]+", text)} | {""}
+        low = text.lower()
+        words = {*re.findall("[a-z0-9]+", low)}
         found: dict[str, tuple] = {}
-        for w in words & self.by_word.keys():
-            for pattern, alias, target in self.by_word[w]:
-                if m := pattern.search(text):
+        for w in (words | {""}) & self.by_word.keys():
+            for pattern, alias, target, needed, first in self.by_word[w]:
+                if needed <= words and (m := self._first(pattern, text, low, first)):
                     a, b = max(0, m.start() - RADIUS), min(len(text), m.end() + RADIUS)
                     snippet = ("..." if a else "") + text[a:b].strip() + ("..." if b < len(text) else "")
                     old = found.get(target)
@@ -151,6 +153,17 @@ class AliasFinder:
                         found[target] = (alias, m.group(), snippet)
         return [(t, alias, raw, score, snippet) for t, (alias, raw, snippet) in found.items()]
 
+    @staticmethod
+    def _first(pattern: re.Pattern, text: str, low: str, first: str) -> re.Match | None:
+        if not first or len(low) != len(text):
+            return pattern.search(text)
+        at = low.find(first)
+        while at >= 0:
+            if m := pattern.match(text, at):
+                return m
+            at = low.find(first, at + 1)
+        return None
+
 
 def accuracy(gold: DataFrame, predicted: DataFrame, page: str, item: str) -> DataFrame:
     """(page, gold, predicted, true_positive, recall, precision) per page of either side. With no gold item the recall is 1, and the precision 1 if nothing was

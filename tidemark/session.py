@@ -44,10 +44,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes what written() put into the shared folder in this process. Tables that still depend on it can't be read after."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written to the shared folder and read again: the plan is cut, it is computed once, and a lost
     executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
