@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 #: Where the vocabularies of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -104,7 +106,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     Items of no tokens and of null size take no space and give no row. Repeated ids are items of their own. Ties go to the
     bin opened first. The result depends on the items alone, not on how they are stored.
     """
-    used = items.where("tokens > 0")
+    used = written(items.select("id", "tokens").where("tokens > 0"), "sizes")  # counted once, read for the total and for the packing
     total = used.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, int(total // (capacity * shard_bins)))
     id_type = dict(items.dtypes)["id"]
