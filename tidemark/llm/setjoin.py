@@ -76,8 +76,8 @@ def _cells(flat: np.ndarray, rec: np.ndarray, n: int, m: int, salt: int):
         return cell, own, sums, np.tile(place, n)
 
 
-def _emit(t: Fraction, frequent: np.ndarray, logp: np.ndarray, rare: float, splits: int):
-    """A function over batches (id, size, hashes) that gives the signatures of both roles."""
+def _emit(t: Fraction, frequent: np.ndarray, logp: np.ndarray, rare: float, splits: int, probes: bool):
+    """A function over batches (id, size, hashes) that gives the signatures of one role: those that sets look up, or those that they store."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -99,8 +99,8 @@ def _emit(t: Fraction, frequent: np.ndarray, logp: np.ndarray, rare: float, spli
                 sketch = np.bitwise_or.reduceat(np.uint64(1) << (_mix(flat) >> np.uint64(58)), np.concatenate([[0], np.cumsum(size)[:-1]]))
                 ids = batch["id"].iloc[at].reset_index(drop=True)
 
-                def frame(role: bool, keys, who, deleted):
-                    return pd.DataFrame({"probe": role, "key": keys.view(np.int64), "id": ids.iloc[who].reset_index(drop=True), "size": size[who].astype(np.int32), "sketch": sketch[who].view(np.int64), "deleted": deleted})
+                def frame(keys, who, deleted):
+                    return pd.DataFrame({"key": keys.view(np.int64), "id": ids.iloc[who].reset_index(drop=True), "size": size[who].astype(np.int32), "sketch": sketch[who].view(np.int64), "deleted": deleted})
 
                 def keyed(m, split, target):
                     cell, own, sums, place = _cells(flat, rec, n, m, split * 7919 + target)
@@ -108,11 +108,11 @@ def _emit(t: Fraction, frequent: np.ndarray, logp: np.ndarray, rare: float, spli
                         return cell, _mix(sums + place), _mix(sums[cell] - own + place[cell])
 
                 m = segments(t, int(tops[k]))
-                for split in range(splits):
+                for split in range(0 if probes else splits):
                     cell, whole, less = keyed(m, split, int(k))
-                    yield frame(False, whole, np.repeat(np.arange(n), m), np.zeros(n * m, bool))
-                    yield frame(False, less, rec, np.ones(len(rec), bool))
-                for target in (k, k - 1):
+                    yield frame(whole, np.repeat(np.arange(n), m), np.zeros(n * m, bool))
+                    yield frame(less, rec, np.ones(len(rec), bool))
+                for target in (k, k - 1) if probes else ():
                     if target < 1:
                         continue
                     other = np.minimum(size, tops[target])
@@ -140,9 +140,9 @@ def _emit(t: Fraction, frequent: np.ndarray, logp: np.ndarray, rare: float, spli
                         mine = (choice == split) & fits
                         flatp = (points * mine[:, None]).reshape(-1)
                         sel = np.nonzero(flatp >= 1)[0]
-                        yield frame(True, whole[sel], sel // m, np.zeros(len(sel), bool))
+                        yield frame(whole[sel], sel // m, np.zeros(len(sel), bool))
                         sel = np.nonzero(flatp[cell] >= 2)[0]
-                        yield frame(True, less[sel], rec[sel], np.ones(len(sel), bool))
+                        yield frame(less[sel], rec[sel], np.ones(len(sel), bool))
 
     return run
 
@@ -176,9 +176,9 @@ def similar_classes(classes: DataFrame, threshold: float, splits: int = SPLITS)
     frequent, logp = np.array([h for h, _ in known], np.uint64), np.array([p for _, p in known], float)
     rare = min([*logp, -6.0]) - 1.0
     id_type = dict(classes.dtypes)["id"]
-    schema = f"probe boolean, key bigint, id {id_type}, size int, sketch bigint, deleted boolean"
-    made = hashed.mapInPandas(_emit(t, frequent, logp, rare, splits), schema)
-    index, probe = made.where("not probe").alias("r"), made.where("probe").alias("s")
+    schema = f"key bigint, id {id_type}, size int, sketch bigint, deleted boolean"
+    index = hashed.mapInPandas(_emit(t, frequent, logp, rare, splits, False), schema).alias("r")
+    probe = hashed.mapInPandas(_emit(t, frequent, logp, rare, splits, True), schema).alias("s")
     p, q = t.numerator, t.denominator
     pairs = index.join(probe, F.expr(
         f"r.key = s.key and not (r.deleted and s.deleted) and (r.size < s.size or (r.size = s.size and r.id < s.id)) and r.size * {q} >= s.size * {p}"
