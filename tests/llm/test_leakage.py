@@ -89,3 +89,36 @@ def test_table(spark):
     assert [r.item_id for r in leaked_items(df.where("d is null"), items, "d", "t", "i", "t").collect()] == [2]
     assert leaked_items(df, items.limit(0), "d", "t", "i", "t").count() == 0
     assert leaked_items(df.limit(0), items, "d", "t", "i", "t").count() == 0
+
+
+def test_spans_and_removal(spark):
+    s = Scanner(ITEMS)
+    rng = random.Random(3)
+    for i, text in ITEMS:
+        for doc_item in (text, text.upper(), " ".join(_altered(text.split(), 4, "replaced", rng)), " ".join(_altered(text.split(), 4, "put in", rng)), "> " + text.replace(" ", "\n> ", 9)):
+            doc = "Before <b>it</b> stands this. " + doc_item + " After it stands that."
+            ((item, share, a, b),) = s.spans(doc)
+            assert item == i and dict(s.leaks(doc))[i] == share
+            assert abs(a - 30) <= 12 and abs(b - 30 - len(doc_item)) <= 12
+    twice = "Intro words here. " + ITEMS[0][1] + " middle part stays. " + ITEMS[0][1] + " the end stays too " * 40
+    df = spark.createDataFrame([(1, twice), (2, ITEMS[1][1]), (3, "harmless"), (4, None)], "d bigint, t string")
+    items = spark.createDataFrame(ITEMS, "i bigint, t string")
+    from tidemark.llm.leakage import without_leaks
+
+    got = {r.doc_id: r for r in without_leaks(df, items, "d", "t", "i", "t").collect()}
+    assert set(got) == {1, 2} and got[2].dropped and got[2].text is None
+    assert got[1].text.startswith("Intro words here.") and "middle part stays." in got[1].text and not s.leaks(got[1].text)
+    with pytest.raises(ValueError, match="words of items"):
+        without_leaks(df, items, "d", "t", "i", "t", item_words=10)
+
+
+def test_even_alterations():
+    """Spans of exactly the allowed alterations, evenly spread, are found too."""
+    for i, text in ITEMS:
+        ws = text.split()
+        n = len(ws) // 2 + len(ws) % 2
+        for start in (0, len(ws) - n):
+            part = ws[start : start + n]
+            for j in range(7, n, 8):
+                part[j - 1] = "zzz"
+            assert i in dict(Scanner(ITEMS).leaks("q " * 9 + " ".join(part) + " q" * 9))

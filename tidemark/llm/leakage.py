@@ -20,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import _WORD, folded, plain, words
+from tidemark.llm.words import _WORD, folded, placed_words, plain, words
 
 #: One word in so many may be altered.
 ALTERED = 8
 #: Share of an item's words that must stand together.
 COVERAGE = 0.5
+#: Words put in or missing beside the outermost seeds that are still followed.
+EDGE = 3
 #: Words of items that go to the tasks at once; more are taken in several passes.
 ITEM_WORDS = 2_000_000
 
@@ -146,6 +148,8 @@ class Scanner:
         self.least = [max(1, int(np.ceil(len(s) * coverage))) for s in seqs]
         self.seed = min((seed_for(n, altered) for n in self.least), default=1)
         self.altered = altered
+        # seeds that a span of at least so many words has at the least: n - k unaltered words in k + 1 runs
+        self.seeds = [max(1, min(n - n // altered - (self.seed - 1) * (n // altered + 1) for n in range(m, m + altered))) for m in self.least]
         self.automaton = Automaton(seqs)
         self.known: dict[str, int] = {}
 
@@ -163,7 +167,15 @@ class Scanner:
 
     def leaks(self, text: str) -> list[tuple[int, float]]:
         """(item id, share of its words in the longest span) of the items that leaked."""
-        doc = self.numbers(text)
+        return [(item, share) for item, share, _, _ in self._search(self.numbers(text))]
+
+    def spans(self, text: str) -> list[tuple[int, float, int, int]]:
+        """(item id, share, first character, last character + 1) of the longest span of each item that leaked."""
+        placed = placed_words(text)
+        doc = np.array([self.vocabulary.get(w, -1) for w, _, _ in placed], np.int64)
+        return [(item, share, placed[a][1], placed[b - 1][2]) for item, share, a, b in self._search(doc)]
+
+    def _search(self, doc: np.ndarray) -> list[tuple[int, float, int, int]]:
         inside = np.concatenate([[0], (doc >= 0).astype(np.int8), [0]])
         starts, ends = np.nonzero(np.diff(inside) == 1)[0], np.nonzero(np.diff(inside) == -1)[0]
         found: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
@@ -173,13 +185,14 @@ class Scanner:
                     found[s][int(a) + i - j] += 1
         out = []
         for s, diagonals in found.items():
-            if (share := self._share(doc, s, diagonals)) is not None:
-                out.append((self.ids[s], share))
+            if (hit := self._share(doc, s, diagonals)) is not None:
+                out.append((self.ids[s], *hit))
         return out
 
-    def _share(self, doc: np.ndarray, s: int, diagonals: dict[int, int]) -> float | None:
+    def _share(self, doc: np.ndarray, s: int, diagonals: dict[int, int]) -> tuple[float, int, int] | None:
+        """(share, first word, last word + 1 in the document) of the longest span of an item."""
         item, m = self.items[s], len(self.items[s])
-        most = 0
+        most, where = 0, (0, 0)
         shifts = sorted(diagonals)
         room = max(1, m // self.altered)
         groups = [[shifts[0]]]
@@ -189,28 +202,36 @@ class Scanner:
             else:
                 groups.append([d])
         for group in groups:
-            if sum(diagonals[d] for d in group) + (self.seed - 1) * len(group) < self.least[s] // 3:
+            if sum(diagonals[d] for d in group) < self.seeds[s]:
+                continue
+            exact = len(group) == 1 and self._line(doc, item, group[0])[max(0, -group[0]) : len(doc) - group[0]].all()
+            if not exact:  # runs between two alterations, or beside the first and last, may be too short for a seed
+                group = list(range(group[0] - EDGE, group[-1] + EDGE + 1))
+            lines = [self._line(doc, item, d) for d in group]
+            if np.any(lines, axis=0).sum() < self.least[s] - self.least[s] // self.altered:
                 continue
-            if len(group) > 1:  # runs between two alterations may be too short for a seed
-                group = list(range(group[0], group[-1] + 1))
-            lines = []
-            for d in group:
-                line = np.zeros(m, bool)
-                a, b = max(0, -d), min(m, len(doc) - d)
-                if a < b:
-                    line[a:b] = item[a:b] == doc[a + d : b + d]
-                lines.append(line)
             if len(group) == 1:
-                a, b = longest_span(lines[0], self.altered)
-                most = max(most, b - a)
+                same, used = lines[0], np.arange(m) + group[0]
+                a, b = longest_span(same, self.altered)
             else:
-                path, extra = self._path(lines, group)
-                a, b = longest_span(path, self.altered, extra)
-                most = max(most, b - a)
-        return most / m if most >= self.least[s] else None
+                same, extra, used = self._path(lines, group)
+                a, b = longest_span(same, self.altered, extra)
+            if b - a > most and same[a:b].any():
+                at = used[a:b][same[a:b]]
+                most, where = b - a, (int(at[0]), int(at[-1]) + 1)
+        return (most / m, *where) if most >= self.least[s] else None
 
-    def _path(self, lines: list[np.ndarray], shifts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The best way through the diagonals: which words of the item agree, and how many were put in before each. A step to a
+    @staticmethod
+    def _line(doc: np.ndarray, item: np.ndarray, d: int) -> np.ndarray:
+        """Where the words of an item agree with the document along a diagonal."""
+        line = np.zeros(len(item), bool)
+        a, b = max(0, -d), min(len(item), len(doc) - d)
+        if a < b:
+            line[a:b] = item[a:b] == doc[a + d : b + d]
+        return line
+
+    def _path(self, lines: list[np.ndarray], shifts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best way through the diagonals: which words of the item agree, how many were put in before each, and its place in the document. A step to a
         higher diagonal is a word put in; on the way to a lower one the missing words disagree. No word of the document is used twice."""
         k, m = len(lines), len(lines[0])
         at = np.array(shifts)
@@ -236,7 +257,7 @@ class Scanner:
                 same[j] = False
             else:
                 last = used[j]
-        return same, extra
+        return same, extra, used
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, coverage: float = COVERAGE, altered: int = ALTERED, item_words: int = ITEM_WORDS) -> DataFrame:
@@ -267,3 +288,39 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str, text: str,
         one = texts.mapInPandas(scan, schema)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, drop_share: float = 0.8, coverage: float = COVERAGE, altered: int = ALTERED, item_words: int = ITEM_WORDS) -> DataFrame:
+    """(doc_id, items, removed_chars, dropped, text) of the documents that hold items: the text without the leaked spans, or null and dropped where
+    these make up `drop_share` of its characters or more. Other documents give no row.
+
+    A span is looked for again where one was cut out, so an item that stands in a document several times is removed each time. Items go to the tasks at once,
+    measured first; more than item_words words raise, as spans of several passes would have to be cut from one text.
+    """
+    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.length(F.trim("t")) > 0).distinct()
+    if (rows.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0) > item_words:
+        raise ValueError(f"more than {item_words} words of items; clean in several runs")
+    shared = documents.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in rows.sort("i").collect()])
+    texts = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.length("t") > 0)
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(shared.value, coverage, altered)
+        for b in batches:
+            out = []
+            for d, t in zip(b["d"], b["t"], strict=True):
+                if not scanner.leaks(t):
+                    continue
+                left, found = t, set()
+                while spans := scanner.spans(left):
+                    found |= {i for i, _, _, _ in spans}
+                    cut, at = [], 0
+                    for a, e in sorted((a, e) for _, _, a, e in spans):
+                        cut.append(left[at : max(at, a)])
+                        at = max(at, e)
+                    left = "".join(cut) + left[at:]
+                gone = len(t) - len(left)
+                dropped = gone >= drop_share * len(t)
+                out.append((d, len(found), gone, dropped, None if dropped else left))
+            yield pd.DataFrame(out, columns=["doc_id", "items", "removed_chars", "dropped", "text"])
+
+    return texts.mapInPandas(clean, f"doc_id {dict(documents.dtypes)[doc_id]}, items bigint, removed_chars bigint, dropped boolean, text string")

@@ -73,6 +73,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold test items, without the leaked spans."""
+    return leakage.without_leaks(load(spark, d, "documents"), load(spark, d, "eval_items"), "doc_id", "text", "item_id", "item_text")
+
+
 def _stretches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     documents = load(spark, d, "documents")
     return documents, langid.language_stretches(documents, "doc_id", "text", langid.fit_profiles(documents, "doc_id", "text", "lang"))
@@ -89,7 +94,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _stretches(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p6_found, p6_scores, p7_packed, p8_found, p9_found, p9_stretches)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p6_found, p6_scores, p7_packed, p8_found, p8_cleaned, p9_found, p9_stretches)}
 
 _SETS = """with m as (select distinct model_row_id r, lower(trim(benchmark_id)) b from mentions where nullif(trim(benchmark_id), '') is not null),
 s as (select r, count(*) n, md5(string_agg(b, '|' order by b)) h from m group by r having count(*) >= 4),

@@ -48,3 +48,20 @@ def folded(word: str) -> str:
 def words(text: str) -> list[str]:
     """The comparable words of a text."""
     return [w for x in _WORD.findall(plain(text)) for w in ([x] if x.isascii() else _WORD.findall(folded(x)))]
+
+
+_JOINT = "[­​-‏⁠﻿]|-[ \\t]*\\r?\\n[ \\t>]*"
+_SIGN = "(?:[^\\W_]|(?<=[ÃÂÄÅ])[\\u0080-¿])"
+_PLACED = re.compile(f"{_SIGN}+(?:(?:{_JOINT})+{_SIGN}+)*")
+_JOINTS = re.compile(_JOINT)
+
+
+def placed_words(text: str) -> list[tuple[str, int, int]]:
+    """(comparable word, first character, last character + 1) of the words of a text as it stands; the words are those of words()."""
+    blank = lambda m: " " * len(m.group())
+    hidden = _LINE_MARKS.sub(blank, _TAGS.sub(blank, text)) if "\n" in text or "<" in text or "&" in text else text
+    out = []
+    for m in _PLACED.finditer(hidden):
+        w = _MOJIBAKE.sub(_repair, _JOINTS.sub("", m.group()))
+        out += [(x, *m.span()) for x in _WORD.findall(folded(w.lower()))]
+    return out
