@@ -1,16 +1,18 @@
-"""Resolution, keys, page scans and data quality: D1 to D14, B1 to B12, G12, V1 to V16."""
+"""Resolution, keys, page scans and data quality: D1 to D14, B1 to B12, G12, V2 to V14, V16."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import benchmark_id, edit_name, exact_key, identity_key, name_tokens, stable_id
 from tidemark.functions.text import norm_id
 from tidemark.functions.url import normalize_url
+from tidemark.functions.vocab import HEADLINE_AXIS
+from tidemark.operators.facets import headline_projection
 from tidemark.operators.nearnames import near_duplicates as near
 from tidemark.operators.pages import accuracy, scan_aliases
-from tidemark.operators.resolve import build_resolved_mentions
+from tidemark.operators.resolve import build_resolved_mentions, exploded
 from tidemark.plans import base
 from tidemark.plans.base import LABS, LAUNCHES, VIEWS
 from tidemark.plans.composition import AXES
@@ -18,6 +20,17 @@ from tidemark.sources.tables import load
 
 STATUSES = ("accepted", "deprecated", "disputed", "legacy_seed", "needs_review")
 MATCH_TYPES = ("case_variant", "exact", "legacy_name", "provider_abbreviation", "version_alias")
+#: The closed vocabularies of the catalogue and of the facet labels; the blank task mode and domain are allowed.
+TASK_MODES = ("agent", "static", "tool")
+TASK_DOMAINS = ("code", "general", "law", "science")
+FACET_LABELS = {
+    "context_pressure": ("long", "medium", "short", "unknown", "very_long"),
+    "domain": ("chemistry", "finance", "general", "law", "software"),
+    "interaction_pattern": ("dialogue", "environment", "single_turn", "survey", "tool_use"),
+    "metric": ("accuracy", "cost", "pass_rate", "rubric", "win_rate"),
+    "modality": ("audio", "code", "image", "table", "text"),
+    HEADLINE_AXIS: TASK_MODES,
+}
 
 
 def names_and_aliases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +98,8 @@ def resolution_accuracy_micro(spark: SparkSession, d: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, d: str) -> DataFrame:
-    """(rule, severity, key) of every broken rule, as one table; a key that breaks a rule several times stands once."""
+    """V3, V4, V6, V9, V10, V12, V14 and parts of V5, V7, V11: (rule, severity, key) of what breaks these rules, as one table; a key that breaks a rule
+    several times stands once. all_violations has the other rules too."""
     bm = load(spark, d, "benchmarks").select(norm_id("benchmark_id").alias("id"), F.trim("benchmark_name").alias("name"), "review_status", F.coalesce("frontier_lab_author_affiliations", F.lit("")).alias("aff")).distinct()
     al = load(spark, d, "benchmark_aliases").select(F.col("alias_id").cast("string").alias("k"), F.trim("alias").alias("alias"), norm_id("benchmark_id").alias("target"), "match_type").distinct()
     fa = base.facets(spark, d, active=False)
@@ -121,8 +135,68 @@ def violations(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def all_violations(spark: SparkSession, d: str, reviewed: DataFrame | None = None) -> DataFrame:
+    """Violations and the rules that it leaves out: closed vocabularies, unused aliases and names, near duplicates, several or
+    underivable headlines, release dates, missing confidences and names equal but for case and form.
+
+    reviewed: (benchmark_id_a, benchmark_id_b, note), near duplicates that were found to be two entries; such pairs are no violation, and the
+    list itself is checked. V1 and V15 are checked where files are read (read_csv, merge_reviewed), which raise.
+    """
+    bm = load(spark, d, "benchmarks").select(norm_id("benchmark_id").alias("id"), "benchmark_name", F.trim("legacy_task_mode").alias("mode"), F.trim("legacy_task_domain").alias("domain")).distinct()
+    al = load(spark, d, "benchmark_aliases").select(F.col("alias_id").cast("string").alias("k"), "alias").distinct()
+    confidence = F.max(F.when(~F.isnan("classification_confidence"), F.col("classification_confidence")))
+    raw = load(spark, d, "benchmark_facets").groupBy("facet_row_id").agg(F.min(F.trim("facet_axis")).alias("axis"), F.min(F.trim("facet_label")).alias("label"), F.min(F.trim("review_status")).alias("status"), confidence.alias("confidence"))
+    fa = base.facets(spark, d)
+    used = exploded(base.releases(spark, d), ["model_row_id"]).select(F.col("raw_mention").alias("used")).distinct()
+    names = bm.select(F.trim("benchmark_name").alias("name"), exact_key("benchmark_name").alias("used"))
+    headed = fa.where(F.col("facet_axis") == HEADLINE_AXIS).groupBy("benchmark_id").agg(F.count("*").alias("n"))
+    full = fa.where(F.col("facet_axis").isin(*AXES)).groupBy("benchmark_id").agg(F.count_distinct("facet_axis").alias("n")).where(F.col("n") == len(AXES))
+    pairs = near_duplicate_names(spark, d).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    k = lambda c: F.col(c).cast("string").alias("key")
+    pair = F.concat_ws("|", "a", "b").alias("key")
+
+    def broken(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+        """(rule, severity, key) of the rows, read once, that meet the conditions of errors."""
+        return rows.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(rule)) for rule, c in rules.items()]))).alias("rule"), F.lit("error").alias("severity"), k(key))
+
+    odd = F.lit(False)
+    for axis, labels in FACET_LABELS.items():
+        odd = odd | ((F.col("axis") == axis) & (F.col("label") != "") & ~F.col("label").isin(*labels))
+    checks: list[tuple[str, str, DataFrame]] = [
+        ("invalid_release_date", "error", load(spark, d, "models").where("release_date is null").select(k("model_row_id"))),
+        ("duplicate_name_identity", "error", bm.where("trim(benchmark_name) <> ''").select("id", identity_key("benchmark_name").alias("i")).groupBy("i").agg(F.count_distinct("id").alias("n")).where("n > 1").select(k("i"))),
+        ("duplicate_alias_identity", "error", al.where("trim(alias) <> ''").select("k", identity_key("alias").alias("i")).groupBy("i").agg(F.count_distinct("k").alias("n")).where("n > 1").select(k("i"))),
+        ("unused_alias", "warning", al.select("k", exact_key("alias").alias("used")).join(used, "used", "left_anti").select(k("k"))),
+        ("unused_name", "warning", names.join(used, "used", "left_anti").select(F.coalesce("name", F.lit("")).alias("key"))),
+        ("headline_repeated", "error", headed.where("n > 1").select(k("benchmark_id"))),
+        ("headline_not_derivable", "error", full.join(headline_projection(fa), "benchmark_id", "left_anti").select(k("benchmark_id"))),
+    ]
+    if reviewed is not None:
+        known = bm.select("id").where("id is not null").distinct()
+        x, y = (F.coalesce(norm_id(c), F.lit("")) for c in ("benchmark_id_a", "benchmark_id_b"))
+        rv = reviewed.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), exact_key("note").alias("note"))
+        two = rv.where("a <> '' and a <> b")
+        good = two.join(known, F.col("a") == known.id, "left_semi").join(known, F.col("b") == known.id, "left_semi")
+        checks += [
+            ("reviewed_pair_not_two", "error", rv.where("a = '' or a = b").select(pair)),
+            ("reviewed_pair_missing", "error", two.select("a", "b").distinct().join(good.select("a", "b").distinct(), ["a", "b"], "left_anti").select(pair)),
+            ("reviewed_pair_without_note", "error", good.where("note = ''").select(pair)),
+            ("reviewed_pair_repeated", "error", good.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select(pair)),
+        ]
+        pairs = pairs.join(good.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    checks.append(("near_duplicate", "warning", pairs.select(pair)))
+    out = violations(spark, d).unionByName(broken(bm, "id", {
+        "invalid_task_mode": (F.col("mode") != "") & ~F.col("mode").isin(*TASK_MODES), "invalid_task_domain": (F.col("domain") != "") & ~F.col("domain").isin(*TASK_DOMAINS),
+    })).unionByName(broken(raw, "facet_row_id", {
+        "facet_status_blank": F.coalesce("status", F.lit("")) == "", "facet_status_invalid": (F.col("status") != "") & ~F.col("status").isin(*STATUSES), "facet_confidence_missing": F.col("confidence").isNull(), "facet_label_invalid": odd,
+    }))
+    for rule, severity, rows in checks:
+        out = out.unionByName(rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "key"))
+    return out.distinct()
+
+
 QUERIES = {f.__name__: f for f in (
-    resolved_mentions, unresolved_mentions, resolved_dedup, resolved_drop_release, name_keys, source_urls, near_duplicate_names, page_mentions, resolution_accuracy, resolution_accuracy_micro, violations,
+    resolved_mentions, unresolved_mentions, resolved_dedup, resolved_drop_release, name_keys, source_urls, near_duplicate_names, page_mentions, resolution_accuracy, resolution_accuracy_micro, violations, all_violations,
 )}
 
 _KEY = "trim(regexp_replace(replace(replace({c}, chr(160), ' '), '，', ','), '\\s+', ' ', 'g'))"
