@@ -1,10 +1,11 @@
 """Queries that do what the queries with SQL leave out."""
 
+import datetime as dt
 import os
 
 import pytest
 
-from tidemark.plans import resolution
+from tidemark.plans import base, composition, resolution
 
 
 @pytest.fixture
@@ -44,3 +45,18 @@ def test_all_violations(spark, folder, changed):
     rv = spark.createDataFrame([("benchmark_zorp_quell", "benchmark_zorp_quel", "two"), ("benchmark_zorp_quel", "x_gone", "n"), ("a", "a", "n")], "benchmark_id_a string, benchmark_id_b string, note string")
     got = {(r.rule, r.key) for r in resolution.all_violations(spark, d, rv).collect()}
     assert ("near_duplicate", pair) not in got and {("reviewed_pair_missing", "benchmark_zorp_quel|x_gone"), ("reviewed_pair_not_two", "a|a")} <= got
+
+
+def _small(spark, monkeypatch, mentions, facets):
+    """Puts mentions (model_row_id, day, benchmark_id) and facets (benchmark_id, axis, label, confidence) in place of the tables."""
+    m = spark.createDataFrame([(str(i), r, "p", "m", dt.date.fromisoformat(x), i, b, b, int(x[:4])) for i, (r, x, b) in enumerate(mentions)], "mention_id string, model_row_id bigint, provider string, model_name string, release_date date, mention_index int, raw_mention string, benchmark_id string, release_year bigint")
+    f = spark.createDataFrame([(i, *x, "accepted") for i, x in enumerate(facets)], "facet_row_id bigint, benchmark_id string, facet_axis string, facet_label string, confidence double, review_status string")
+    monkeypatch.setattr(base, "mentions", lambda *_: m)
+    monkeypatch.setattr(base, "facets", lambda *_: f)
+
+
+def test_axis_trends(spark, monkeypatch):
+    facets = [(x, "domain", f"d{x}", 0.9) for x in "abcde"] + [("a", "modality", "image", 0.9), ("b", "metric", "cost", 0.9)]
+    _small(spark, monkeypatch, [(1, "2025-12-31", x) for x in "abcde"], facets)
+    got = {(r.facet_axis, r.category): r.share for r in composition.axis_trends(spark, "").collect()}
+    assert got == {("domain", f"d{x}"): 0.2 for x in "abcde"} | {("modality", "image"): 1.0, ("metric", "cost"): 1.0, ("headline_task_mode", "Multimodal / Perceptual Understanding"): 1.0}

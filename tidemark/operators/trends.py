@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 from tidemark.operators.shares import ratio
 
 
-def rolling_share(events: DataFrame, day: str, category: str, weight: str, cutoff, window_days: int) -> DataFrame:
+def rolling_share(events: DataFrame, day: str, category: str, weight: str, cutoff, window_days: int, by: str | None = None) -> DataFrame:
     """(day, category, share): each category's share of the weight in the window of `window_days` days that ends on a day, for every
     day from the first event to the cutoff; null where the window holds no event, and nothing is filled.
 
     Events are summed by day and category before anything else; what the windows sort is categories times calendar days.
-    Null days and categories are skipped; no events give no rows.
+    Null days and categories are skipped; no events give no rows. by: a column of which each value has its own shares and days; it goes before, as `by`.
     """
     if window_days <= 0:
         raise ValueError("window_days must be positive")
-    daily = events.where(F.col(day).isNotNull() & F.col(category).isNotNull() & (F.col(day) <= F.lit(cutoff))).groupBy(F.col(day).alias("day"), F.col(category).alias("category")).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
-    spine = daily.agg(F.min("day").alias("lo")).where("lo is not null").select(F.explode(F.sequence("lo", F.lit(cutoff))).alias("day"))
-    full = spine.crossJoin(daily.select("category").distinct()).join(daily, ["day", "category"], "left")  # days x categories
-    span = Window.partitionBy("category").orderBy(F.unix_date("day")).rangeBetween(-(window_days - 1), 0)
-    full = full.select("day", "category", F.coalesce(F.sum("w").over(span), F.lit(0.0)).alias("w"), F.coalesce(F.sum("n").over(span), F.lit(0)).alias("n"))
-    everyone = Window.partitionBy("day")
-    return full.select("day", "category", F.when(F.sum("n").over(everyone) > 0, ratio(F.col("w"), F.sum("w").over(everyone))).alias("share"))
+    own = ["by"] if by else []
+    daily = events.where(F.col(day).isNotNull() & F.col(category).isNotNull() & (F.col(day) <= F.lit(cutoff))).groupBy(*[F.col(by).alias(c) for c in own], F.col(day).alias("day"), F.col(category).alias("category")).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+    spine = daily.groupBy(*own).agg(F.min("day").alias("lo")).where("lo is not null").select(*own, F.explode(F.sequence("lo", F.lit(cutoff))).alias("day"))
+    categories = daily.select(*own, "category").distinct()
+    full = (spine.join(categories, own) if own else spine.crossJoin(categories)).join(daily, [*own, "day", "category"], "left")  # days x categories
+    span = Window.partitionBy(*own, "category").orderBy(F.unix_date("day")).rangeBetween(-(window_days - 1), 0)
+    full = full.select(*own, "day", "category", F.coalesce(F.sum("w").over(span), F.lit(0.0)).alias("w"), F.coalesce(F.sum("n").over(span), F.lit(0)).alias("n"))
+    everyone = Window.partitionBy(*own, "day")
+    return full.select(*own, "day", "category", F.when(F.sum("n").over(everyone) > 0, ratio(F.col("w"), F.sum("w").over(everyone))).alias("share"))
 
 
 def moving_ratio(rows: DataFrame, day: str, value: str, cutoff, window_days: int) -> DataFrame:

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vocab import CONFIDENCE, CONSTRUCT_AXES, HEADLINE_RULES
-from tidemark.operators.facets import headline_projection
+from tidemark.functions.vocab import CONFIDENCE, CONSTRUCT_AXES, HEADLINE_AXIS, HEADLINE_RULES
+from tidemark.operators.facets import headline_projection, with_headline
 from tidemark.operators.shares import dedup_mentions, facet_weights, joined, ratio, ratio_or_zero, top_labels
 from tidemark.operators.sizes import lookup_join
 from tidemark.operators.trends import lanes, moving_ratio, rolling_share
@@ -30,6 +30,7 @@ FLAGS = {
 STATUSES = ("accepted", "needs_review", "legacy_seed", "disputed")
 RECENT_DAYS = 365
 WINDOW_DAYS = 90
+TREND_LABELS, TREND_DAYS = 10, 180
 _RECENT = CUTOFF - dt.timedelta(days=RECENT_DAYS)
 _FLAGS = (*FLAGS, "is_static", "is_complete")
 
@@ -213,12 +214,25 @@ def timeline_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def domain_trend(spark: SparkSession, d: str) -> DataFrame:
-    """Trailing shares of the domains, all but the three heaviest called Other."""
+    """Trailing shares of the domains, all but the three heaviest called Other; axis_trends has all axes."""
     w = facet_weights(dedup_mentions(base.mentions(spark, d)).withColumnRenamed("raw_weight", "w"), base.facets(spark, d), "domain", "w")
     w = w.groupBy("release_date", "facet_label").agg(F.sum("label_weight").alias("lw"))
     return rolling_share(top_labels(w, "facet_label", "lw", 3), "release_date", "facet_label", "lw", CUTOFF, WINDOW_DAYS)
 
 
+def axis_trends(spark: SparkSession, d: str) -> DataFrame:
+    """(facet_axis, day, category, share), trailing shares of the labels of every axis and of the headline that the labels give, all but the
+    TREND_LABELS heaviest of an axis called Other."""
+    men = dedup_mentions(base.mentions(spark, d)).groupBy("release_date", "benchmark_id").agg(F.sum("raw_weight").alias("w"))
+    labels = with_headline(base.facets(spark, d)).where(F.col("facet_axis").isin(*AXES, HEADLINE_AXIS)).select("benchmark_id", "facet_axis", "facet_label").distinct()
+    labels = labels.withColumn("n", F.count("*").over(Window.partitionBy("benchmark_id", "facet_axis")))
+    w = men.join(labels, "benchmark_id").groupBy("facet_axis", "release_date", "facet_label").agg(F.sum(F.col("w") / F.col("n")).alias("lw"))
+    total = F.sum("lw").over(Window.partitionBy("facet_axis", "facet_label"))
+    heaviest = F.dense_rank().over(Window.partitionBy("facet_axis").orderBy(F.desc("t"), "facet_label"))
+    w = w.withColumn("t", F.round(total, 9)).withColumn("facet_label", F.when(heaviest <= TREND_LABELS, F.col("facet_label")).otherwise("Other"))
+    return rolling_share(w, "release_date", "facet_label", "lw", CUTOFF, TREND_DAYS, by="facet_axis").withColumnRenamed("by", "facet_axis")
+
+
 def headline_projections(spark: SparkSession, d: str) -> DataFrame:
     """The headline projection that each benchmark's labels give by the rules in their order."""
     return headline_projection(base.facets(spark, d))
@@ -232,7 +246,7 @@ def timeline_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     benchmark_flags, provider_period_summary, axis_shares, benchmark_drivers, facet_status_summary, launch_density, covered_portfolio, signature_lift, release_frames, annual_frames, sensitivity, fingerprints, pair_flow,
-    review_leverage, review_leverage_top, lifecycle_table, long_context_case, release_counts_smoothed, timeline_status, domain_trend, headline_projections, timeline_lanes,
+    review_leverage, review_leverage_top, lifecycle_table, long_context_case, release_counts_smoothed, timeline_status, domain_trend, axis_trends, headline_projections, timeline_lanes,
 )}
 
 
