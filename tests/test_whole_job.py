@@ -60,3 +60,11 @@ def test_axis_trends(spark, monkeypatch):
     _small(spark, monkeypatch, [(1, "2025-12-31", x) for x in "abcde"], facets)
     got = {(r.facet_axis, r.category): r.share for r in composition.axis_trends(spark, "").collect()}
     assert got == {("domain", f"d{x}"): 0.2 for x in "abcde"} | {("modality", "image"): 1.0, ("metric", "cost"): 1.0, ("headline_task_mode", "Multimodal / Perceptual Understanding"): 1.0}
+
+
+def test_sensitivity_confident(spark, monkeypatch):
+    axes = {"context_pressure": "short", "domain": "law", "metric": "rubric", "modality": "text"}
+    facets = [(b, a, x, c) for b, c in (("sure", 0.9), ("mixed", 0.9)) for a, x in axes.items()] + [("sure", "interaction_pattern", "tool_use", 0.7), ("mixed", "interaction_pattern", "tool_use", 0.6), ("none", "interaction_pattern", "tool_use", None)]
+    _small(spark, monkeypatch, [(1, "2025-01-01", "sure"), (1, "2025-01-01", "mixed"), (2, "2025-02-01", "none"), (3, "2024-02-01", "mixed")], facets)
+    got = {(r.variant, r.release_year): (r.releases, r.mean_agentic_share) for r in composition.sensitivity_confident(spark, "").collect()}
+    assert got == {("confident_lower_bound", 2025): (2, 0.25), ("confident_lower_bound", 2024): (1, 0.0), ("confident_complete_axes", 2025): (1, 1.0)}

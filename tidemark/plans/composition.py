@@ -35,13 +35,17 @@ _RECENT = CUTOFF - dt.timedelta(days=RECENT_DAYS)
 _FLAGS = (*FLAGS, "is_static", "is_complete")
 
 
-def benchmark_flags(spark: SparkSession, d: str) -> DataFrame:
-    """The flags of every labelled benchmark, and on how many axes it is labelled."""
+def _flags(facets: DataFrame) -> DataFrame:
     hit = lambda spec: F.coalesce(F.bool_or(F.expr(" or ".join(f"(facet_axis = '{a}' and facet_label in ({', '.join(repr(x) for x in ls)}))" for a, ls in spec.items()))), F.lit(False))
-    g = base.facets(spark, d).groupBy("benchmark_id").agg(*[hit(s).alias(k) for k, s in FLAGS.items()], hit({"interaction_pattern": ("single_turn",)}).alias("single"), F.size(F.collect_set("facet_axis")).cast("bigint").alias("axes_covered"))
+    g = facets.groupBy("benchmark_id").agg(*[hit(s).alias(k) for k, s in FLAGS.items()], hit({"interaction_pattern": ("single_turn",)}).alias("single"), F.size(F.collect_set("facet_axis")).cast("bigint").alias("axes_covered"))
     return g.withColumn("is_static", F.col("single") & ~F.col("is_work")).withColumn("is_complete", F.col("axes_covered") == len(AXES)).drop("single")
 
 
+def benchmark_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The flags of every labelled benchmark, and on how many axes it is labelled."""
+    return _flags(base.facets(spark, d))
+
+
 def _units(spark: SparkSession, d: str) -> DataFrame:
     """Mentions per release and benchmark with period and flags; w is the share of the release's mentions."""
     u = dedup_mentions(base.mentions(spark, d)).withColumn("release_year", F.year("release_date").cast("bigint"))
@@ -128,8 +132,9 @@ def annual_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """The yearly mean share of acting benchmarks under variants of what counts: without risky ones, with two mentions or more, both,
-    and completely labelled ones only; weights are shared out anew among what is left. Mentions are counted before anything is left out."""
+    """R55 in part: the yearly mean share of acting benchmarks under variants of what counts: without risky ones, with two mentions or more, both,
+    and completely labelled ones only; weights are shared out anew among what is left. Mentions are counted before anything is left out.
+    All active labels count, however sure; sensitivity_confident has the variants of sure labels."""
     u = _units(spark, d).select("model_row_id", "release_year", "benchmark_id", "multiplicity", "is_risky", "is_complete", "is_agentic")
     often = u.groupBy("benchmark_id").agg(F.sum("multiplicity").alias("times"))
     u = lookup_join(u, often, "benchmark_id")
@@ -140,6 +145,16 @@ def sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("variant", "release_year").agg(F.count("*").alias("releases"), F.round(F.avg("s"), 6).alias("mean_agentic_share"))
 
 
+def sensitivity_confident(spark: SparkSession, d: str) -> DataFrame:
+    """The yearly mean share of acting benchmarks by labels of a confidence of CONFIDENCE or more: a lower bound over all mentions, and over the benchmarks
+    that such labels cover on every axis, weights shared out anew among these."""
+    u = dedup_mentions(base.mentions(spark, d)).select("model_row_id", F.year("release_date").cast("bigint").alias("release_year"), "benchmark_id", "multiplicity")
+    u = lookup_join(u, _flags(base.facets(spark, d).where(F.col("confidence") >= CONFIDENCE)), "benchmark_id", "left").na.fill(False, ["is_agentic", "is_complete"])
+    x = u.select("*", F.explode(F.array(F.lit("confident_lower_bound"), F.lit("confident_complete_axes"))).alias("variant"))
+    r = x.where((F.col("variant") == "confident_lower_bound") | F.col("is_complete")).groupBy("variant", "model_row_id", "release_year").agg((F.sum(F.when(F.col("is_agentic"), F.col("multiplicity")).otherwise(0)) / F.sum("multiplicity")).alias("s"))
+    return r.groupBy("variant", "release_year").agg(F.count("*").alias("releases"), F.round(F.avg("s"), 6).alias("mean_agentic_share"))
+
+
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """In the last year, each provider's shares of the four heaviest labels of each axis; the denominator is all labels."""
     u = _units(spark, d).where(F.col("release_date") >= F.lit(_RECENT)).groupBy("provider", "benchmark_id").agg(F.sum("w").alias("w"))
@@ -245,7 +260,7 @@ def timeline_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    benchmark_flags, provider_period_summary, axis_shares, benchmark_drivers, facet_status_summary, launch_density, covered_portfolio, signature_lift, release_frames, annual_frames, sensitivity, fingerprints, pair_flow,
+    benchmark_flags, provider_period_summary, axis_shares, benchmark_drivers, facet_status_summary, launch_density, covered_portfolio, signature_lift, release_frames, annual_frames, sensitivity, sensitivity_confident, fingerprints, pair_flow,
     review_leverage, review_leverage_top, lifecycle_table, long_context_case, release_counts_smoothed, timeline_status, domain_trend, axis_trends, headline_projections, timeline_lanes,
 )}
 
