@@ -122,3 +122,14 @@ def test_even_alterations():
             for j in range(7, n, 8):
                 part[j - 1] = "zzz"
             assert i in dict(Scanner(ITEMS).leaks("q " * 9 + " ".join(part) + " q" * 9))
+
+
+@pytest.mark.parametrize("m", [127, 200])
+def test_many_words_at_once_near_an_end(m):
+    """As many words as half of the item may bear, put in or missing in one place with fewer than a seed of unaltered words behind."""
+    item = [f"u{i}y" for i in range(m)]
+    n = m // 2 + m % 2
+    s = Scanner([(1, " ".join(item))])
+    for k in range(4, n // 8 + 1):
+        for doc in (item[: n - 5] + ["zzz"] * k + item[n - 5 : n], item[:5] + ["zzz"] * k + item[5:n], item[: n - 5 - k] + item[n - 5 : n]):
+            assert dict(s.leaks(" ".join(["q"] * 9 + doc + ["q"] * 9))).keys() == {1}, (k, len(doc))

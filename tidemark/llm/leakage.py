@@ -26,7 +26,7 @@ from tidemark.llm.words import _WORD, folded, placed_words, plain, words
 ALTERED = 8
 #: Share of an item's words that must stand together.
 COVERAGE = 0.5
-#: Words put in or missing beside the outermost seeds that are still followed.
+#: Words put in or missing beside the outermost seeds that are followed at the least; as many as the item may bear are.
 EDGE = 3
 #: Words of items that go to the tasks at once; more are taken in several passes.
 ITEM_WORDS = 2_000_000
@@ -205,20 +205,24 @@ class Scanner:
             if sum(diagonals[d] for d in group) < self.seeds[s]:
                 continue
             exact = len(group) == 1 and self._line(doc, item, group[0])[max(0, -group[0]) : len(doc) - group[0]].all()
-            if not exact:  # runs between two alterations, or beside the first and last, may be too short for a seed
-                group = list(range(group[0] - EDGE, group[-1] + EDGE + 1))
-            lines = [self._line(doc, item, d) for d in group]
-            if np.any(lines, axis=0).sum() < self.least[s] - self.least[s] // self.altered:
-                continue
-            if len(group) == 1:
-                same, used = lines[0], np.arange(m) + group[0]
-                a, b = longest_span(same, self.altered)
-            else:
-                same, extra, used = self._path(lines, group)
-                a, b = longest_span(same, self.altered, extra)
-            if b - a > most and same[a:b].any():
-                at = used[a:b][same[a:b]]
-                most, where = b - a, (int(at[0]), int(at[-1]) + 1)
+            # runs between two alterations, or beside the first and last, may be too short for a seed. The best way through more diagonals may be another one, so
+            # all widths up to what the item may bear are tried
+            for edge in [0] if exact else sorted({min(EDGE << i, max(EDGE, room)) for i in range(room.bit_length() + 1)}):
+                near = list(range(group[0] - edge, group[-1] + edge + 1)) if edge else group
+                lines = [self._line(doc, item, d) for d in near]
+                if np.any(lines, axis=0).sum() < self.least[s] - self.least[s] // self.altered:
+                    continue
+                if len(near) == 1:
+                    same, used = lines[0], np.arange(m) + near[0]
+                    a, b = longest_span(same, self.altered)
+                else:
+                    same, extra, used = self._path(lines, near)
+                    a, b = longest_span(same, self.altered, extra)
+                if b - a > most and same[a:b].any():
+                    at = used[a:b][same[a:b]]
+                    most, where = b - a, (int(at[0]), int(at[-1]) + 1)
+                if most == m:
+                    break
         return (most / m, *where) if most >= self.least[s] else None
 
     @staticmethod
