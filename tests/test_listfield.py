@@ -39,3 +39,13 @@ def test_table(spark):
         assert set(got) == want and len(got) == len(want)
     assert split_list_field(df.limit(0), "row_id", "item_name", names).count() == 0
     assert split_list_field(df, "row_id", "item_name", names.limit(0)).count() == 7
+
+
+def test_long_names_of_a_large_catalogue(spark):
+    """Beyond the limit names of any length are kept whole too, in rows without an id as well."""
+    long = "Zorb of the very long and quite winding name, with a second part, and a third one (2024)"
+    rows = [(1, f"A, {long.upper()}*, B"), (None, f"{long}; C"), (None, "D, Bror, Field Set"), (2, "[x, (Odd, Start) Set]"), (3, f"{long}: extra, E")]
+    df = spark.createDataFrame(rows, "row_id bigint, field string")
+    names = spark.createDataFrame([(n,) for n in [*NAMES, long, "(Odd, Start) Set"]], "name string")
+    got = [sorted(map(repr, split_list_field(df, "row_id", "field", names, limit=limit).collect())) for limit in (1000, 1)]
+    assert got[0] == got[1] and sum(long.lower() in x.lower() for x in got[1]) == 2 and sum("Bror, Field Set" in x for x in got[1]) == 1

@@ -36,6 +36,8 @@ _NUMBER = re.compile(r"^\s*(\d{1,3})[.)]\s+")
 _BOUNDARY = r"(?=$|[\s%s()\[\]（）/／\"”»*†])" % re.escape(SEPARATORS)
 _AND = re.compile(r"(?:and|AND)(?=\s)")
 _SINGLE = re.compile(r"(['`‘])[^'`’]+['`’]" + _BOUNDARY)
+#: Pieces after which a value may start.
+_BEFORE = frozenset(SEPARATORS + "/／[ ​﻿")
 _BLANKS = re.compile(r"[\s​﻿]*")
 
 
@@ -201,22 +203,25 @@ def _split_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(b["row_id"], (split_values(t, protected_pattern(own) if own is not None and len(own) else None) for t, own in zip(b["field"], b["own"], strict=True)))
 
 
-def _runs(text: str, longest: int = 6) -> list[str]:
-    """Runs of up to `longest` neighbouring pieces of a text, cut at every sign and blank, squeezed and in lower case."""
-    text = " ".join(text.split()).lower()
-    edges = sorted({0, len(text), *(i for m in re.finditer(r"[%s()\[\]\"“”«»/\s]+" % re.escape(SEPARATORS), text) for i in m.span())})
-    out = set()
-    for a in range(len(edges) - 1):
-        for b in range(a + 1, min(len(edges), a + 2 * longest + 1)):
-            if _STOP.search(run := text[edges[a] : edges[b]].strip()):
-                out.add(run)
-    return list(out)
+def _pieces(text: str) -> list[str]:
+    """Words, blanks and signs of a squeezed text."""
+    return re.findall(r"\w+|\W", " ".join(text.split()))
+
+
+def _runs(text: str, widths: Iterable[int]) -> list[str]:
+    """Runs of as many neighbouring pieces as some risky name has, wherever a value may start; case is folded."""
+    pieces = _pieces(text)
+    starts = [i for i in range(len(pieces)) if i == 0 or pieces[i - 1] in _BEFORE]
+    runs = {"".join(pieces[i : i + w]) for w in widths for i in starts if i + w <= len(pieces)}
+    return list({run.casefold() for run in runs if _STOP.search(run)})
 
 
 def _with_own_names(rows: DataFrame, risky: DataFrame) -> DataFrame:
-    """rows with `own`, the catalogue names that the field may hold; a shuffle join, for catalogues too large to send about."""
-    key = F.lower(F.trim(F.regexp_replace("n", r"(?U)\s+", " ")))
-    runs = F.udf(_runs, "array<string>")
-    sought = rows.select("row_id", F.explode(runs("field")).alias("run")).join(risky.select(key.alias("run")).distinct(), "run", "left_semi")
-    own = sought.groupBy("row_id").agg(F.collect_set("run").alias("own"))
-    return rows.join(own, "row_id", "left")
+    """rows with `own`, the catalogue names that the field may hold; a shuffle join, for catalogues too large to send about. Rows are keyed by the field itself,
+    so null ids need no other key. The numbers of pieces that risky names have are measured first."""
+    named = risky.select("n", F.udf(lambda n: "".join(_pieces(n)).casefold())("n").alias("run"), F.udf(lambda n: len(_pieces(n)), "int")("n").alias("w"))
+    widths = sorted(r.w for r in named.select("w").distinct().collect())  # bounded by the longest name
+    runs = F.udf(lambda t: _runs(t, widths), "array<string>")
+    sought = rows.select("field").distinct().select("field", F.explode(runs("field")).alias("run")).join(named.select("n", "run"), "run")
+    own = sought.groupBy("field").agg(F.collect_set("n").alias("own"))
+    return rows.join(own, "field", "left")
