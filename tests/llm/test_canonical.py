@@ -81,3 +81,19 @@ def test_table(spark):
         assert {tuple(r) for r in got} == want and len(got) == 5
     assert map_to_canonical(df.limit(0), "rid", "raw", entries).count() == 0
     assert {r.target for r in map_to_canonical(df, "rid", "raw", entries.limit(0)).collect()} == {UNMATCHED}
+
+
+def test_passes_and_providers_change_nothing(spark):
+    """The same hits with the list in one pass and in several, and with providers at once and joined."""
+    some = [("Foobar Tast", "rare", 1), ("Foobar Tost", "often", 9), ("Zorbing Quell", None, 3), ("Zorbing Quells", "quells", 9), ("Copper Voyage Plan", "cvp", 1), ("Plan Voyage Cupper", "other", 1)]
+    some += [(f"Filler {chr(97 + i)}uvwxyz", f"f{i}", 1) for i in range(9)] + [("Gl-aub", "g1", 1), ("Glaub", "g2", 5)]
+    raws = ["Foobar Test", "Zorbing Quell", "Quillon Foobar Tost", "Foobar Tost by Norvane Labs", "Plan Copper Voyage", "Voyage Copper Plan", "Glaub", "Zorbing Quel (5-shot)", None, "Quillon Zorbing Quells", "auvwxyz filler"]
+    df = spark.createDataFrame(list(enumerate(raws)), "rid bigint, raw string")
+    entries = spark.createDataFrame(some, "name string, target string, n int")
+    prov = spark.createDataFrame([("Quillon",), ("Norvane Labs",), ("Tarkwell",)], "provider string")
+    got = {}
+    for entries_at_once, providers_at_once in ((1000, 1000), (4, 1000), (2, 1000), (1000, 1), (4, 1)):
+        got[entries_at_once, providers_at_once] = {tuple(r) for r in map_to_canonical(df, "rid", "raw", entries, prov, max_entries=entries_at_once, max_providers=providers_at_once).collect()}
+    want = got[1000, 1000]
+    assert {r[0]: r[2] for r in want}[0] == "often" and {r[0]: r[2] for r in want}[2] == "often" and {r[0]: r[2] for r in want}[1] == UNMATCHED
+    assert all(x == want for x in got.values())

@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from itertools import permutations
 
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 UNMATCHED = "unmatched"
 #: Entries that the tasks hold at once, counted first; longer lists are taken in several passes.
 MAX_ENTRIES = 50_000
-#: Providers that the tasks may hold; where there are more, a value is only freed of its own row's provider.
+#: Providers that the tasks may hold; where there are more, each value is joined with the providers that its words could name.
 MAX_PROVIDERS = 10_000
 #: Letters of a name from which deletions are made.
 PREFIX = 9
@@ -102,8 +102,17 @@ def _trimmed(words: tuple[str, ...], drop: frozenset[str] = FILLERS) -> list[tup
     return [words[i : len(words) - j] for i in range(a + 1) for j in range(b + 1) if i + j < len(words)]
 
 
-def readings(raw: str, providers: Sequence[tuple[str, ...]]) -> list[tuple[tuple[str, ...], int]]:
-    """(words, how much was left out) of the ways to read a typed value, the fullest first."""
+class Asked(set):
+    """Holds nothing, and keeps what it was asked for."""
+
+    def __contains__(self, x: object) -> bool:
+        self.add(x)
+        return False
+
+
+def readings(raw: str, providers: Collection[tuple[str, ...]], lengths: Collection[int] | None = None) -> list[tuple[tuple[str, ...], int]]:
+    """(words, how much was left out) of the ways to read a typed value, the fullest first. lengths: the numbers of words that providers have."""
+    lengths = {len(p) for p in providers} if lengths is None else lengths
     text = simplify(raw)
     out: dict[tuple[str, ...], int] = {}
 
@@ -111,9 +120,9 @@ def readings(raw: str, providers: Sequence[tuple[str, ...]]) -> list[tuple[tuple
         for w in _trimmed(words):
             cost = left + (w != words)
             out[w] = min(out.get(w, 99), cost)
-            for p in providers:
-                if len(w) > len(p):
-                    rest = [w[len(p) :]] * (w[: len(p)] == p) + [w[: -len(p)]] * (w[-len(p) :] == p)
+            for n in lengths:
+                if len(w) > n:
+                    rest = [w[n:]] * (w[:n] in providers) + [w[:-n]] * (w[-n:] in providers)
                     for x in {y for r in rest for y in _trimmed(r)}:
                         out[x] = min(out.get(x, 99), cost + 1)
 
@@ -203,7 +212,8 @@ class Matcher:
             if len(key[0]) >= 5:
                 for d in deletions(key[0]):
                     self.index[d].append(key)
-        self.providers = sorted({tokens(simplify(p)) for p in providers if p} - {()}, key=lambda p: (-len(p), p))
+        self.providers = frozenset(tokens(simplify(p)) for p in providers if p) - {()}
+        self.lengths = {len(p) for p in self.providers}
         self.memo: dict = {}
 
     def _nearest(self, words: tuple[str, ...]) -> tuple[float, int, str | None] | None:
@@ -231,22 +241,32 @@ class Matcher:
 
     def find(self, raw: str | None, own_provider: str | None = None) -> tuple[str, float] | None:
         """(target, distance) of the entry that is meant, or None."""
+        hit = self.rank(raw, own_provider)
+        return None if hit is None or hit[5] is None else (hit[5], hit[1])
+
+    def rank(self, raw: str | None, own_provider: str | None = None, near: frozenset[tuple[str, ...]] | None = None) -> tuple[bool, float, int, int, int, str | None] | None:
+        """(words in another order, distance, how much was left out, place of an exact reading, -frequency, target) of the best entry: the least of these is
+        the best of all entries, also where they are spread over several matchers. near: providers, in place of those of the matcher."""
         if raw is None or not raw.strip():
             return None
-        key = (raw, own_provider)
+        key = (raw, own_provider, near)
         if key not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[key] = self._find(raw, own_provider)
+            self.memo[key] = self._rank(raw, own_provider, near)
         return self.memo[key]
 
-    def _find(self, raw: str, own_provider: str | None) -> tuple[str, float] | None:
-        providers = self.providers or ([tokens(simplify(own_provider))] if own_provider else [])
-        tried = readings(raw, [p for p in providers if p])
+    def _rank(self, raw: str, own_provider: str | None, near: frozenset[tuple[str, ...]] | None) -> tuple[bool, float, int, int, int, str | None] | None:
+        if near is not None:
+            tried = readings(raw, near)
+        elif self.providers:
+            tried = readings(raw, self.providers, self.lengths)
+        else:
+            tried = readings(raw, {tokens(simplify(own_provider))} - {()} if own_provider else ())
         ranked = []
-        for words, left in tried:
+        for i, (words, left) in enumerate(tried):
             if (hit := self._nearest(words)) is not None:
-                ranked.append((hit[0], left, hit[1], hit[2]))
+                ranked.append((False, hit[0], left, i if hit[0] == 0 else 0, hit[1], hit[2]))
                 if hit[0] == 0:
                     break
         if not ranked:
@@ -254,20 +274,17 @@ class Matcher:
                 if 2 <= len(words) <= 4:
                     for p in permutations(words):
                         if p != words and (hit := self._nearest(p)) is not None:
-                            ranked.append((hit[0], left, hit[1], hit[2]))
-        if not ranked:
-            return None
-        cost, _, _, target = min(ranked, key=lambda r: (r[0], r[1], r[2], r[3] or ""))
-        return None if target is None else (target, cost)
+                            ranked.append((True, hit[0], left, 0, hit[1], hit[2]))
+        return min(ranked, key=lambda r: (*r[:5], r[5] or "")) if ranked else None
 
 
-def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame, providers: DataFrame | None = None, own_provider: str | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame, providers: DataFrame | None = None, own_provider: str | None = None, max_entries: int = MAX_ENTRIES, max_providers: int = MAX_PROVIDERS) -> DataFrame:
     """(key, raw, target, distance): for each row of `values` the target of the entry that is meant, or UNMATCHED.
 
     entries: (name, target, n); a null target is a name that stands for nothing, n how often the entry is referred to. A name with
     several targets goes to the most frequent, then the least. Rows repeated with one key count once (the least raw value). Null, empty
     and unreadable values are unmatched. Rows are matched where they lie; up to `max_entries` entries, counted first,
-    go to the tasks at once, and longer lists are taken in passes whose best hit wins. providers: (provider), names that may
+    go to the tasks at once, and longer lists are taken in passes, over which hits are ranked as in one. providers: (provider), names that may
     stand before a value.
     """
     rows = values.select(F.col(key).alias("key"), F.col(raw).alias("raw"), (F.col(own_provider) if own_provider else F.lit(None).cast("string")).alias("own"))
@@ -275,25 +292,48 @@ def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame,
     # the key, as a repartition by the key itself, by which they lie already, is planned away
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.groupBy("key").agg(F.min("raw").alias("raw"), F.min("own").alias("own")).repartition(spread, F.xxhash64("key"))
-    names = providers.select("provider").where("provider is not null").distinct().limit(MAX_PROVIDERS + 1).collect() if providers is not None else []
-    known = [r.provider for r in names] if len(names) <= MAX_PROVIDERS else []
+    named = providers.select("provider").where("provider is not null").distinct() if providers is not None else None
+    names = named.limit(max_providers + 1).collect() if named is not None else []
+    known, many = [r.provider for r in names], len(names) > max_providers
+    rows = _with_near_providers(rows, named) if many else rows.withColumn("near", F.lit(None).cast("array<string>"))
+    known = [] if many else known
     found = entries.select("name", "target", "n").where("name is not null").distinct()
     passes = max(1, -(-found.count() // max_entries))
+    if passes > 1:  # names with the same letters and numbers are weighed against each other in one pass
+        found = found.withColumn("part", F.pmod(F.xxhash64(F.udf(lambda n: "|".join([(p := _parts(tokens(simplify(n))))[0], *p[1]]))("name")), F.lit(passes)))
     spark, out = values.sparkSession, None
-    schema = f"key {dict(rows.dtypes)['key']}, raw string, target string, distance double, n bigint"
+    schema = f"key {dict(rows.dtypes)['key']}, raw string, reordered boolean, distance double, left_out int, place int, rare bigint, target string"
     for i in range(passes):
-        part = [(r.name, r.target, r.n or 0) for r in found.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == i).collect()]
+        part = [(r.name, r.target, r.n or 0) for r in (found.where(F.col("part") == i) if passes > 1 else found).collect()]
         shared = spark.sparkContext.broadcast((part, known))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             matcher = Matcher(*shared.value)
             for b in batches:
-                hits = [matcher.find(v, o) for v, o in zip(b["raw"], b["own"], strict=True)]
-                yield pd.DataFrame({"key": b["key"], "raw": b["raw"], "target": [h[0] if h else None for h in hits], "distance": pd.Series([h[1] if h else None for h in hits], dtype=float), "n": 0})
+                hits = [matcher.rank(v, o, frozenset(tuple(p.split(" ")) for p in (q if q is not None else ())) if many else None) or (None,) * 6 for v, o, q in zip(b["raw"], b["own"], b["near"], strict=True)]
+                yield pd.DataFrame({"key": b["key"], "raw": b["raw"]} | {c: pd.Series([h[j] for h in hits], dtype=object) for j, c in enumerate(("reordered", "distance", "left_out", "place", "rare", "target"))})
 
         one = rows.mapInPandas(run, schema)
         out = one if out is None else out.unionByName(one)
     if passes > 1:
-        best = F.min(F.when(F.col("target").isNotNull(), F.struct("distance", "target"))).alias("m")
-        out = out.groupBy("key").agg(F.min("raw").alias("raw"), best).select("key", "raw", "m.target", "m.distance")
+        rank = F.struct("reordered", "distance", "left_out", "place", "rare", F.coalesce("target", F.lit("")).alias("at"), "target")
+        out = out.groupBy("key").agg(F.min("raw").alias("raw"), F.min(F.when(F.col("reordered").isNotNull(), rank)).alias("m")).select("key", "raw", "m.target", "m.distance")
+    out = out.withColumn("distance", F.when(F.col("target").isNotNull(), F.col("distance")))
     return out.select(F.col("key").alias(key), F.col("raw").alias(raw), F.coalesce("target", F.lit(UNMATCHED)).alias("target"), "distance")
+
+
+def _with_near_providers(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows with `near`, the providers, as words, that may stand before or after a reading; a shuffle join, for providers too many to send about."""
+    words = F.udf(lambda p: " ".join(tokens(simplify(p))))
+    held = named.select(words("provider").alias("asked")).where("asked <> ''").distinct()
+    lengths = [r.n for r in held.select(F.size(F.split("asked", " ")).alias("n")).distinct().collect()]  # bounded by the longest provider
+
+    def asked(raw: str | None) -> list[str]:
+        out = Asked()
+        if raw and raw.strip():
+            readings(raw, out, lengths)
+        return [" ".join(x) for x in out]
+
+    sought = rows.select("raw").distinct().select("raw", F.explode(F.udf(asked, "array<string>")("raw")).alias("asked")).join(held, "asked", "left_semi")
+    near = sought.groupBy("raw").agg(F.collect_set("asked").alias("near"))
+    return rows.join(near, "raw", "left").select("key", "raw", "own", "near")
