@@ -1,8 +1,9 @@
 import random
+from itertools import permutations
 
 import pytest
 
-from tidemark.llm.canonical import UNMATCHED, Matcher, bound, distance, map_to_canonical, readings, simplify, tokens
+from tidemark.llm.canonical import UNMATCHED, Matcher, _best_order, bound, distance, map_to_canonical, readings, simplify, tokens
 
 ENTRIES = [
     ("Glonteall", "glonteall", 50), ("Wentig Code", "wentig", 9), ("Wentig Code Pro", "wentig_pro", 3), ("Skyb QA 2", "skyb2", 2), ("Skyb QA 3", "skyb3", 2), ("Haulleark Bench II", "haul2", 1), ("Braulm Vision v2", "braulm2", 1),
@@ -97,3 +98,28 @@ def test_passes_and_providers_change_nothing(spark):
     want = got[1000, 1000]
     assert {r[0]: r[2] for r in want}[0] == "often" and {r[0]: r[2] for r in want}[2] == "often" and {r[0]: r[2] for r in want}[1] == UNMATCHED
     assert all(x == want for x in got.values())
+
+
+def test_long_names_in_another_order():
+    """Reordered names of five words and more are found, with slips too, as trying all orders would."""
+    rng = random.Random(12)
+    names = ["Copper Voyage Planning With Maps", "Amber Kettle Sorting Under Pressure 3 Deluxe", "Dull Lantern Quiz About River Boats Again"]
+    m = Matcher([(n, n, 1) for n in names])
+    for n in names:
+        for slip in (False, True):
+            ws = n.split()
+            while ws == n.split():
+                rng.shuffle(ws)
+            if slip:
+                i = max(range(len(ws)), key=lambda i: len(ws[i]))
+                ws[i] = ws[i][:2] + ws[i][3:]
+            assert (m.find(" ".join(ws)) or [None])[0] == n, ws
+    assert m.find("Voyage Maps Planning Amber Copper") is None and m.find("Deluxe 4 Amber Kettle Sorting Under Pressure") is None
+    for _ in range(200):  # against all orders
+        bag = sorted("".join(rng.choices("abc", k=rng.randrange(1, 4))) for _ in range(5))
+        name = list("".join(rng.sample(bag, 5)))
+        name[rng.randrange(len(name))] = rng.choice(["", "a", "bc"])
+        name = "".join(name)
+        best = min(distance("".join(p), name, 2.0) for p in permutations(bag))
+        got = _best_order(bag, name, 2.0)
+        assert got == best if best <= 2.0 else got is None

@@ -19,6 +19,7 @@ from collections import defaultdict
 from collections.abc import Collection, Iterator, Sequence
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,6 +196,38 @@ def deletions(s: str, most: int = 2) -> set[str]:
     return out
 
 
+def _letters(s: str) -> np.ndarray:
+    """How often each letter stands in s; rare letters share a place."""
+    return np.bincount([ord(c) % 61 for c in s], minlength=61) if s else np.zeros(61, int)
+
+
+def _best_order(bag: list[str], name: str, limit: float) -> float | None:
+    """The least distance within the limit from name to the words of a sorted bag written in some order, or None."""
+    best: float | None = None
+
+    def go(rest: list[str], done: str, row: list[float]) -> None:
+        nonlocal best
+        if not rest:
+            cost = distance(done, name, limit)
+            if cost <= limit and (best is None or cost < best):
+                best = cost
+            return
+        for i, w in enumerate(rest):
+            if i and rest[i - 1] == w:
+                continue
+            now = row
+            for c in w:  # a letter put in or missing counts 0.45, so two of them at most as much as any other edit
+                new = [now[0] + 0.45]
+                for j, x in enumerate(name):
+                    new.append(min(now[j] if c == x else 9e9, now[j + 1] + 0.45, new[j] + 0.45))
+                now = new
+            if min(now) <= limit and best != 0:
+                go(rest[:i] + rest[i + 1 :], done + w, now)
+
+    go(bag, "", [0.45 * j for j in range(len(name) + 1)])
+    return best
+
+
 class Matcher:
     """Looks typed values up in entries (name, target, frequency). A target of None names nothing."""
 
@@ -214,6 +247,7 @@ class Matcher:
                     self.index[d].append(key)
         self.providers = frozenset(tokens(simplify(p)) for p in providers if p) - {()}
         self.lengths = {len(p) for p in self.providers}
+        self.bags: dict | None = None
         self.memo: dict = {}
 
     def _nearest(self, words: tuple[str, ...]) -> tuple[float, int, str | None] | None:
@@ -239,6 +273,28 @@ class Matcher:
                         found = (cost, -self.names[k][t], t)
         return found
 
+    def _reordered(self, words: tuple[str, ...]) -> tuple[float, int, str | None] | None:
+        """_nearest of the best order of the words, without trying all: entries with the same numbers and nearly the same letters are kept, and an order is given up
+        as soon as its start fits no start of the entry."""
+        bag, numbers = sorted(w for w in words if not w.isdigit()), tuple(sorted(w for w in words if w.isdigit()))
+        if self.bags is None:
+            self.bags = {}
+            for k in self.names:
+                self.bags.setdefault(tuple(sorted(k[1])), []).append(k)
+            self.bags = {n: (ks, np.array([_letters(k[0]) for k in ks], np.int16)) for n, ks in self.bags.items()}
+        found = None
+        if numbers in self.bags:
+            keys, counts = self.bags[numbers]
+            # an edit changes two letters at the most; weights are 0.7 at the least
+            for i in np.nonzero(np.abs(counts - _letters("".join(bag))).sum(1) <= 4)[0]:
+                k = keys[i]
+                cost = _best_order(bag, k[0], bound(len(k[0]), self.words[k]))
+                if cost is not None:
+                    t = next(iter(self.names[k]))
+                    if found is None or (cost, -self.names[k][t], t or "") < (found[0], found[1], found[2] or ""):
+                        found = (cost, -self.names[k][t], t)
+        return found
+
     def find(self, raw: str | None, own_provider: str | None = None) -> tuple[str, float] | None:
         """(target, distance) of the entry that is meant, or None."""
         hit = self.rank(raw, own_provider)
@@ -275,6 +331,8 @@ class Matcher:
                     for p in permutations(words):
                         if p != words and (hit := self._nearest(p)) is not None:
                             ranked.append((True, hit[0], left, 0, hit[1], hit[2]))
+                elif len(words) > 4 and (hit := self._reordered(words)) is not None:
+                    ranked.append((True, hit[0], left, 0, hit[1], hit[2]))
         return min(ranked, key=lambda r: (*r[:5], r[5] or "")) if ranked else None
 
 
