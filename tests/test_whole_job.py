@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import base, composition, resolution
 
@@ -52,7 +53,7 @@ def _small(spark, monkeypatch, mentions, facets):
     m = spark.createDataFrame([(str(i), r, "p", "m", dt.date.fromisoformat(x), i, b, b, int(x[:4])) for i, (r, x, b) in enumerate(mentions)], "mention_id string, model_row_id bigint, provider string, model_name string, release_date date, mention_index int, raw_mention string, benchmark_id string, release_year bigint")
     f = spark.createDataFrame([(i, *x, "accepted") for i, x in enumerate(facets)], "facet_row_id bigint, benchmark_id string, facet_axis string, facet_label string, confidence double, review_status string")
     monkeypatch.setattr(base, "mentions", lambda *_: m)
-    monkeypatch.setattr(base, "facets", lambda *_: f)
+    monkeypatch.setattr(base, "facets", lambda _spark, _d, active=True: f if active else f.unionByName(f.limit(1).withColumn("review_status", F.lit("deprecated"))))
 
 
 def test_axis_trends(spark, monkeypatch):
@@ -68,3 +69,10 @@ def test_sensitivity_confident(spark, monkeypatch):
     _small(spark, monkeypatch, [(1, "2025-01-01", "sure"), (1, "2025-01-01", "mixed"), (2, "2025-02-01", "none"), (3, "2024-02-01", "mixed")], facets)
     got = {(r.variant, r.release_year): (r.releases, r.mean_agentic_share) for r in composition.sensitivity_confident(spark, "").collect()}
     assert got == {("confident_lower_bound", 2025): (2, 0.25), ("confident_lower_bound", 2024): (1, 0.0), ("confident_complete_axes", 2025): (1, 1.0)}
+
+
+def test_summaries(spark, monkeypatch):
+    _small(spark, monkeypatch, [(1, "2025-12-30", "a"), (1, "2025-12-30", "b"), (1, "2025-12-30", "b"), (2, "2024-12-30", "a"), (3, "2024-12-29", "c")], [("a", "domain", "law", 0.9), ("b", "domain", "law", 0.9)])
+    (r,) = composition.summary_stats(spark, "").collect()
+    assert tuple(r) == (dt.date(2025, 12, 30), 3, 5, 3, 4, 2, 3, 0, 0, 2)
+    assert {x.metric: x.value for x in composition.story_summary(spark, "").collect()} == {"as_of": "2025-12-31", "resolved_mentions": "4", "unique_benchmarks": "3", "benchmarked_releases": "3"}

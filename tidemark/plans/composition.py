@@ -248,6 +248,25 @@ def axis_trends(spark: SparkSession, d: str) -> DataFrame:
     return rolling_share(w, "release_date", "facet_label", "lw", CUTOFF, TREND_DAYS, by="facet_axis").withColumnRenamed("by", "facet_axis")
 
 
+def summary_stats(spark: SparkSession, d: str) -> DataFrame:
+    """One row of counts over all mentions, those of the year before the last one, and all facet rows, deprecated ones too."""
+    m, recent = base.mentions(spark, d), F.col("release_date") >= F.date_sub("latest", RECENT_DAYS)
+    m = m.crossJoin(F.broadcast(m.agg(F.max("release_date").alias("latest"))))  # one row
+    a = m.agg(
+        F.max("release_date").alias("latest_release_date"), F.count_distinct("model_row_id").alias("model_rows_with_benchmarks"), F.count("*").alias("resolved_mentions"), F.count_distinct("benchmark_id").alias("unique_resolved_benchmarks"),
+        F.count_if(recent).alias("recent_365d_resolved_mentions"), F.count_distinct(F.when(recent, F.col("benchmark_id"))).alias("recent_365d_unique_benchmarks"),
+    )
+    f = base.facets(spark, d, False).agg(F.count("*").alias("facet_rows"), *[F.count_if(F.col("review_status") == x).alias(f"facet_{x}_rows") for x in ("needs_review", "legacy_seed", "accepted")])
+    return a.crossJoin(f)  # a row each
+
+
+def story_summary(spark: SparkSession, d: str) -> DataFrame:
+    """(metric, value) of the cutoff, mentions, benchmarks and releases that have some; a benchmark counts once a release."""
+    m = base.mentions(spark, d).select("model_row_id", "benchmark_id").distinct().agg(F.count("*").alias("m"), F.count_distinct("benchmark_id").alias("b"), F.count_distinct("model_row_id").alias("r"))
+    rows = {"as_of": F.lit(str(CUTOFF)), "resolved_mentions": F.col("m"), "unique_benchmarks": F.col("b"), "benchmarked_releases": F.col("r")}
+    return m.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("string").alias("value")) for k, v in rows.items()])))
+
+
 def headline_projections(spark: SparkSession, d: str) -> DataFrame:
     """The headline projection that each benchmark's labels give by the rules in their order."""
     return headline_projection(base.facets(spark, d))
@@ -261,7 +280,7 @@ def timeline_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     benchmark_flags, provider_period_summary, axis_shares, benchmark_drivers, facet_status_summary, launch_density, covered_portfolio, signature_lift, release_frames, annual_frames, sensitivity, sensitivity_confident, fingerprints, pair_flow,
-    review_leverage, review_leverage_top, lifecycle_table, long_context_case, release_counts_smoothed, timeline_status, domain_trend, axis_trends, headline_projections, timeline_lanes,
+    review_leverage, review_leverage_top, lifecycle_table, long_context_case, release_counts_smoothed, timeline_status, domain_trend, axis_trends, summary_stats, story_summary, headline_projections, timeline_lanes,
 )}
 
 

@@ -1,4 +1,4 @@
-"""Who made what is mentioned, and how it spreads from provider to provider: R17 to R33, R60 to R62."""
+"""Who made what is mentioned, and how it spreads from provider to provider: R17 to R19, R22 to R32, R60 to R62."""
 
 from __future__ import annotations
 
