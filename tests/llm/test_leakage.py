@@ -108,8 +108,10 @@ def test_spans_and_removal(spark):
     got = {r.doc_id: r for r in without_leaks(df, items, "d", "t", "i", "t").collect()}
     assert set(got) == {1, 2} and got[2].dropped and got[2].text is None
     assert got[1].text.startswith("Intro words here.") and "middle part stays." in got[1].text and not s.leaks(got[1].text)
-    with pytest.raises(ValueError, match="words of items"):
-        without_leaks(df, items, "d", "t", "i", "t", item_words=10)
+    assert sorted(map(tuple, without_leaks(df, items, "d", "t", "i", "t", item_words=100).collect())) == sorted(map(tuple, got.values()))  # several passes, one cut
+    copies = df.unionByName(df).unionByName(spark.createDataFrame([(None, twice), (1, ITEMS[1][1] + " " + ITEMS[2][1])], "d bigint, t string"))
+    once = sorted(map(repr, without_leaks(copies, items, "d", "t", "i", "t").collect()))
+    assert len(once) == 6 and once == sorted(map(repr, without_leaks(copies, items, "d", "t", "i", "t", item_words=100).collect()))
 
 
 def test_even_alterations():
@@ -133,3 +135,96 @@ def test_many_words_at_once_near_an_end(m):
     for k in range(4, n // 8 + 1):
         for doc in (item[: n - 5] + ["zzz"] * k + item[n - 5 : n], item[:5] + ["zzz"] * k + item[5:n], item[: n - 5 - k] + item[n - 5 : n]):
             assert dict(s.leaks(" ".join(["q"] * 9 + doc + ["q"] * 9))).keys() == {1}, (k, len(doc))
+
+
+def _widest_by_force(item, doc, altered=8):
+    """Width of the widest span of the item with an alignment to the document that bears the alterations; all starts, all places, no bands."""
+    loss, best = altered - 1, 0
+    for a in range(len(item)):
+        row = [0] * (len(doc) + 1)  # best score of item[a:j] ending before a place of the document
+        for j in range(a, len(item)):
+            new = [row[0] - loss]
+            for q in range(1, len(doc) + 1):
+                new.append(max(row[q - 1] + (1 if item[j] == doc[q - 1] else -loss), row[q] - loss, new[q - 1] - loss))
+            row = new
+            if max(row) >= 0:
+                best = max(best, j + 1 - a)
+    return best
+
+
+def test_against_brute_force():
+    rng = random.Random(5)
+    held = 0
+    for _ in range(250):
+        few = [f"t{i}" for i in range(rng.choice((3, 12, 60)))]
+        items = [(i, " ".join(rng.choices(few, k=rng.randrange(1, 34)))) for i in range(4)]
+        doc = rng.choices(few + ["q", "r"], k=rng.randrange(0, 30))
+        for _ in range(rng.randrange(3)):
+            ws = rng.choice(items)[1].split()
+            n = rng.randrange(1, len(ws) + 1)
+            at = rng.randrange(len(ws) - n + 1)
+            part = ws[at : at + n]
+            for _ in range(rng.randrange(0, n // 7 + 2)):
+                k = rng.randrange(len(part)) if part else 0
+                part[k : k + rng.choice((0, 1, 1))] = rng.choice(([], ["z"], ["z", "y"]))
+            k = rng.randrange(len(doc) + 1)
+            doc[k:k] = part
+        s = Scanner(items)
+        want = {}
+        for i, text in items:
+            item = text.split()
+            if (w := _widest_by_force(item, doc)) * 2 >= len(item):
+                want[i] = w / len(item)
+        assert dict(s.leaks(" ".join(doc))) == want
+        held += len(want)
+    assert held > 150
+
+
+@pytest.mark.parametrize("size", [20, 41, 57, 90, 160, 233, 300])
+def test_every_way_of_altering(size):
+    """Half of an item with as many alterations as it may bear: replaced, missing, put in or mixed; at its start, its end, in one place or evenly."""
+    rng = random.Random(size)
+    others = [(i, " ".join(rng.choices(VOCAB, k=rng.randrange(5, 120)))) for i in range(20)]
+    item = [f"u{i}y" for i in range(size)]
+    s = Scanner([(99, " ".join(item)), *others])
+    n = -(-size // 2)
+    for where in ("start", "end", "middle", "even", "random"):
+        for kind in ("replaced", "missing", "put in", "mixed"):
+            k = n // 8
+            at = rng.randrange(size - n + 1)
+            part = item[at : at + n]
+            spots = {"start": range(1, k + 1), "end": range(n - 1 - k, n - 1), "middle": range(n // 2, n // 2 + k), "even": range(7, 8 * k, 8), "random": rng.sample(range(1, n - 1), k)}[where]
+            for x in sorted(spots, reverse=True):
+                how = rng.choice(("replaced", "missing", "put in")) if kind == "mixed" else kind
+                part[x : x + (how != "put in")] = [] if how == "missing" else ["zzz"]
+            assert 99 in dict(s.leaks(" ".join(["q"] * 9 + part + ["q"] * 9))), (where, kind, k)
+
+
+def test_words_put_in_near_the_start():
+    rng = random.Random(8)
+    for _ in range(40):
+        item = [f"u{i}y" for i in range(160)]
+        part = item[40:120]
+        for x in sorted(rng.sample(range(1, 12), 10), reverse=True):
+            part.insert(x, "zzz")
+        assert dict(Scanner([(1, " ".join(item))]).leaks(" ".join(part))).keys() == {1}
+
+
+def test_every_span():
+    """Each copy is found, at its place, and what is left holds no item."""
+    s, rng = Scanner(ITEMS), random.Random(9)
+    parts = ["Lead words stand here."]
+    for k in range(7):
+        parts += [" ".join(_altered(ITEMS[k % 3][1].split(), 5, "replaced", rng)), "filler of no kind " * 6]
+    text = "\n\n".join(parts)
+    spans = s.all_spans(text)
+    assert sorted(i for i, _, _ in spans) == [0, 0, 0, 1, 1, 2, 2]
+    for a, e in sorted(((a, e) for _, a, e in spans), reverse=True):
+        text = text[:a] + text[e:]
+    assert not s.leaks(text) and "Lead words stand here." in text
+
+
+def test_short_item_makes_no_short_seeds():
+    s = Scanner([*ITEMS, (99, "five words are all there")])
+    assert s.lengths[0] < 6 <= s.lengths[-1] and {int(x) for x, (i, _) in zip(s.seed, [*ITEMS, (99, "")], strict=True) if i != 99} == set(Scanner(ITEMS).lengths)
+    assert dict(s.leaks("say: five words are all there, and no more")) == {99: 1.0}
