@@ -14,6 +14,7 @@ found by dynamic programming over all starts at once.
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -386,9 +387,9 @@ class Scanner:
 _SCANNERS: OrderedDict[tuple, Scanner] = OrderedDict()
 
 
-def _scanner(shared, coverage: float, altered: int) -> Scanner:
-    """The scanner of broadcast items, built once in a worker process; the last two are kept."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), coverage, altered, len(shared.value), hash(shared.value[0]) if shared.value else 0, hash(shared.value[-1]) if shared.value else 0)
+def _scanner(name: str, shared, coverage: float, altered: int) -> Scanner:
+    """The scanner of broadcast items, which have a name of their own; built once in a worker process, of which the last two are kept."""
+    key = (name, coverage, altered)
     if key not in _SCANNERS:
         _SCANNERS[key] = Scanner(shared.value, coverage, altered)
         while len(_SCANNERS) > 2:
@@ -397,7 +398,7 @@ def _scanner(shared, coverage: float, altered: int) -> Scanner:
 
 
 def _over_items(items: DataFrame, item_id: str, item_text: str, item_words: int, scan: Callable[..., DataFrame]) -> DataFrame:
-    """scan(broadcast items) for all items at once, or, where they have more than item_words words, measured first, for one part after the other; each part's rows
+    """scan(name, broadcast items) for all items at once, or, where they have more than item_words words, measured first, for one part after the other; each part's rows
     are written before the next one is sent, so that the driver holds one part at a time."""
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.length(F.trim("t")) > 0).distinct()
     total = rows.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
@@ -405,7 +406,7 @@ def _over_items(items: DataFrame, item_id: str, item_text: str, item_words: int,
     context, out = items.sparkSession.sparkContext, None
     for p in range(passes):
         shared = context.broadcast([(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p).sort("i", "t").collect()])  # bounded: item_words words
-        one = scan(shared)
+        one = scan(uuid.uuid4().hex, shared)
         if passes > 1:
             one = written(one, "leaks")
             shared.destroy()
@@ -424,9 +425,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str, text: str,
     schema = f"doc_id {dict(documents.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}, share double"
     texts = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.length("t") > 0)
 
-    def scan(shared) -> DataFrame:
+    def scan(name: str, shared) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scanner = _scanner(shared, coverage, altered)
+            scanner = _scanner(name, shared, coverage, altered)
             for b in batches:
                 found = [(d, i, s) for d, t in zip(b["d"], b["t"], strict=True) for i, s in scanner.leaks(t)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "share"])
@@ -444,12 +445,12 @@ def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str, text: str,
     texts = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.length("t") > 0)
     parts = 0
 
-    def scan(shared) -> DataFrame:
+    def scan(name: str, shared) -> DataFrame:
         nonlocal parts
         parts += 1
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scanner = _scanner(shared, coverage, altered)
+            scanner = _scanner(name, shared, coverage, altered)
             for b in batches:
                 out = [(d, t, [{"item_id": i, "first_char": a, "end_char": e} for i, a, e in scanner.all_spans(t)]) for d, t in zip(b["d"], b["t"], strict=True) if scanner.leaks(t)]
                 yield pd.DataFrame([x for x in out if x[2]], columns=["doc_id", "text", "spans"])
