@@ -47,6 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def register_written(path: str) -> None:
+    """Has clear_written delete a folder."""
+    _WRITTEN.append(path)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+
+
 def clear_written(spark: SparkSession) -> None:
     """Deletes what written() put into the shared folder in this process. Tables that still depend on it can't be read after."""
     while _WRITTEN:
