@@ -65,3 +65,64 @@ def test_huge_basket(spark, block):
     want = Counter(combinations(range(40), 2))
     want.subtract(combinations(range(3), 2))
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_layers_and_compaction(spark):
+    """Many small changes: layers are merged where they are too many, and a change writes only the buckets that it alters."""
+    now = _baskets(80, 4)
+    table = PairTable(spark, buckets=8, layers=2)
+    table.apply(_df(spark, now))
+    for step in range(4):
+        change = {f"b{step}": {"i1", "i2", f"new{step}"}}
+        now |= change
+        table.apply(_df(spark, change).where(f"basket = 'b{step}'"))
+    depth = Counter(b for _, _, live in table.state["pairs"] for b in live)
+    assert max(depth.values()) <= 2 and len(table.state["sets"]) <= 2 and len(table.state["items"]) <= 2
+    _check(table, now)
+    table.compact()
+    assert set(table._depth().values()) == {1} and len(table.state["items"]) == 1
+    _check(table, now, 2, 1.1)
+
+
+def test_pair_budget():
+    """However many pairs a batch has, no more than the budget and one row's are held."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.llm.cooccur import _pairs
+
+    rng = np.random.default_rng(1)
+    rows = [sorted(rng.choice(500, rng.integers(2, 90), replace=False).tolist()) for _ in range(400)]
+    b = pd.DataFrame({"left": rows, "right": [[] for _ in rows], "same": True, "sign": 1})
+    b.loc[3, "same"], b.at[3, "right"] = False, [1001, 1002]
+    parts = list(_pairs(iter([b]), budget=20_000))
+    assert len(parts) > 10 and all(len(p) <= 20_000 + 90 * 89 // 2 for p in parts)
+    got = pd.concat(parts).groupby(["a", "b"])["n"].sum().to_dict()
+    want = Counter(p for i, r in enumerate(rows) if i != 3 for p in combinations(r, 2)) + Counter((x, y) for x in rows[3] for y in (1001, 1002))
+    assert got == want
+
+
+def test_exact_bound(spark):
+    """A lift of four decimals and more is neither rounded nor cut."""
+    table = PairTable(spark)
+    table.apply(_df(spark, {f"b{i}": {"x", "y"} if i < 30 else {f"z{i}"} for i in range(90)}).where("n = 1"))
+    assert table.scores(10, 3).count() == 1 and table.scores(10, 3.000001).count() == 0
+    with pytest.raises(ValueError, match="lift"):
+        table.scores(1, 1e-9)
+
+
+@pytest.mark.parametrize("loads", [1, 4])
+def test_loads(spark, loads):
+    """Rows that come in several loads, also into baskets that are there, give the table of all at once."""
+    import datetime as dt
+
+    from tidemark.llm.cooccur import apply_in_loads
+
+    now = _baskets(60, 6)
+    rng = random.Random(2)
+    rows = [(b, i, dt.datetime(2025, 1, 1) + dt.timedelta(days=rng.randrange(90))) for b, s in now.items() for i in sorted(s)]
+    rows[5] = (*rows[5][:2], None)
+    table = PairTable(spark)
+    last = apply_in_loads(table, spark.createDataFrame(rows, "basket string, item string, at timestamp"), loads)
+    _check(table, now)
+    assert table.state["version"] == loads and last.count() > 0

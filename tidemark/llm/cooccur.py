@@ -1,10 +1,11 @@
 """Items that appear together: an incremental table of pair counts.
 
 State lives in a shared folder: the set of items of every basket, the count of every pair that occurs together, and
-the number of baskets of every item, in hash buckets. A change replaces the content of some baskets. The pairs of their
-old and new sets go out as signed deltas, which are merged before and after the shuffle and added to the counts of the buckets
-that they touch; other buckets' files are kept as they are. Scores are computed from the counts, for all pairs or for
-those that a change touched. Versions are never overwritten, so a failed job leaves the last one whole.
+the number of baskets of every item. A change replaces the content of some baskets. The pairs of their old and new sets go out as signed deltas, and so do
+the numbers of baskets of their items. Deltas are summed within each task, meet in hash buckets and are written beside the
+counts that are there, bucket by bucket; what a bucket holds is the sum of its layers, and a bucket with more than LAYERS of them is merged into one. So a
+change writes as much as it alters, however large the table is. Scores are computed from the counts, for all pairs or for those that a
+change touched. Versions are never overwritten, so a failed job leaves the last one whole.
 """
 
 from __future__ import annotations
@@ -12,75 +13,93 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
+from tidemark.operators.sizes import lookup_join
+from tidemark.session import folder_names, register_written, shared_folder, written
 
-#: Hash buckets of the pair table.
-BUCKETS = 64
-#: Items of a basket whose pairs one task makes at once; larger baskets are cut into blocks of so many items.
+#: Hash buckets of a pair table at the least; so many that one holds about BUCKET_PAIRS of the pairs of the first load.
+BUCKETS, BUCKET_PAIRS, MOST_BUCKETS = 64, 4_000_000, 100_000
+#: Layers that a bucket, the sets and the item counts may have before they are merged.
+LAYERS = 4
+#: Items of a basket whose pairs are made at once; larger baskets are cut into blocks of so many items.
 BLOCK = 256
+#: Pairs that a task holds before it sums them and hands them on.
+PAIR_BUDGET = 1_000_000
 
 _SETS = "basket bigint, items array<bigint>"
 _PAIRS = "a bigint, b bigint, n bigint"
 _ITEMS = "item bigint, name string, n bigint"
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Signed pairs of the batches (left, right, same, sign), summed within each batch."""
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, c, s = (np.concatenate(p) for p in zip(*parts, strict=True))
+    lo, hi = np.minimum(a, c), np.maximum(a, c)
+    order = np.lexsort((hi, lo))
+    lo, hi, s = lo[order], hi[order], s[order]
+    at = np.nonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))[0]
+    return pd.DataFrame({"a": lo[at], "b": hi[at], "n": np.add.reduceat(s, at)})
+
+
+def _pairs(batches: Iterator[pd.DataFrame], budget: int = PAIR_BUDGET) -> Iterator[pd.DataFrame]:
+    """Signed pairs of the batches (left, right, same, sign), summed whenever about `budget` of them are held."""
     for b in batches:
-        parts = []
-        lefts, rights, same, sign = b["left"], b["right"], b["same"].to_numpy(bool), b["sign"].to_numpy(np.int64)
+        lefts, rights, same, sign = b["left"].tolist(), b["right"].tolist(), b["same"].to_numpy(bool), b["sign"].to_numpy(np.int64)
         size = np.array([len(x) for x in lefts], np.int64)
-        for k in np.unique(size[same]):
-            if k < 2:
-                continue
-            at = np.nonzero(same & (size == k))[0]
-            grid = np.stack([np.asarray(lefts.iloc[i], np.int64) for i in at])
-            i, j = np.triu_indices(k, 1)
-            parts.append((grid[:, i].ravel(), grid[:, j].ravel(), np.repeat(sign[at], len(i))))
-        for i in np.nonzero(~same)[0]:
-            x, y = np.asarray(lefts.iloc[i], np.int64), np.asarray(rights.iloc[i], np.int64)
-            parts.append((np.repeat(x, len(y)), np.tile(y, len(x)), np.full(len(x) * len(y), sign[i])))
-        if not parts:
-            continue
-        a, c, s = (np.concatenate(p) for p in zip(*parts, strict=True))
-        lo, hi = np.minimum(a, c), np.maximum(a, c)
-        order = np.lexsort((hi, lo))
-        lo, hi, s = lo[order], hi[order], s[order]
-        first = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-        at = np.nonzero(first)[0]
-        yield pd.DataFrame({"a": lo[at], "b": hi[at], "n": np.add.reduceat(s, at)})
+        pairs = np.where(same, size * (size - 1) // 2, size * np.array([len(x) for x in rights], np.int64))
+        # rows of one kind and size lie together, so that they are paired as one array
+        order = np.lexsort((size, same))
+        order = order[pairs[order] > 0]
+        turn = (np.cumsum(pairs[order]) - pairs[order]) // budget
+        for part in np.split(order, np.nonzero(np.diff(turn))[0] + 1) if len(order) else ():
+            parts = []
+            for k in np.unique(size[part[same[part]]]):
+                at = part[same[part] & (size[part] == k)]
+                grid = np.array([lefts[i] for i in at], np.int64)
+                i, j = np.triu_indices(k, 1)
+                parts.append((grid[:, i].ravel(), grid[:, j].ravel(), np.repeat(sign[at], len(i))))
+            for i in part[~same[part]]:
+                x, y = np.asarray(lefts[i], np.int64), np.asarray(rights[i], np.int64)
+                parts.append((np.repeat(x, len(y)), np.tile(y, len(x)), np.full(len(x) * len(y), sign[i])))
+            yield _summed(parts)
 
 
-def signed_pairs(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, n) summed over sets (items array<bigint>, sign). Sets of more than `block` items are cut into blocks and pairs of
+def pair_rows(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, n), summed within tasks only, of sets (items array<bigint>, sign). Sets of more than `block` items are cut into blocks and pairs of
     blocks spread over the tasks, so that no task makes all pairs of a huge basket."""
-    small = sets.where(F.size("items").between(2, block)).select(F.col("items").alias("left"), F.col("items").alias("right"), F.lit(True).alias("same"), "sign")
+    small = sets.where(F.size("items").between(2, block)).select(F.col("items").alias("left"), F.expr("cast(array() as array<bigint>)").alias("right"), F.lit(True).alias("same"), "sign")
     cut = F.transform(F.sequence(F.lit(1), F.size("items"), F.lit(block)), lambda i: F.slice("items", i, block))
     large = sets.where(F.size("items") > block).select(cut.alias("blocks"), "sign")
     large = large.select("blocks", "sign", F.posexplode("blocks").alias("i", "left")).select("sign", "i", "left", F.posexplode("blocks").alias("j", "right")).where("i <= j")
     large = large.select("left", "right", (F.col("i") == F.col("j")).alias("same"), "sign").repartition("left", "right")
-    made = small.unionByName(large).mapInPandas(_pairs, _PAIRS)
-    return made.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return small.unionByName(large).mapInPandas(_pairs, _PAIRS)
+
+
+def signed_pairs(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, n) summed over sets (items array<bigint>, sign)."""
+    return pair_rows(sets, block).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 class PairTable:
-    """Counts of pairs of items over baskets, kept in `folder` (by default one of its own in the shared folder).
+    """Counts of pairs of items over baskets, kept in `folder` (by default one of its own in the shared folder, which clear_written deletes).
 
     Baskets and items are strings; null ones are skipped, and repeated items of a basket count once. They are held as 64-bit
     hashes; two items with one hash are refused, not mixed up.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, layers: int = LAYERS):
+        self.spark, self.layers = spark, layers
         self.folder = folder or f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
-        self.state: dict = {"version": 0, "sets": [], "pairs": {}, "items": None}
-        if folder:
+        # pairs: layers [folder, buckets written, buckets still read]; sets and items: layers, of sets the later one counts
+        self.state: dict = {"version": 0, "buckets": buckets, "sets": [], "pairs": [], "items": []}
+        if folder is None:
+            register_written(self.folder)
+        else:
             try:
                 newest = spark.read.text(f"{folder}/log/*").select(F.max(F.struct(F.get_json_object("value", "$.version").cast("int"), "value")).alias("m")).first()
                 if newest and newest.m:
@@ -90,10 +109,38 @@ class PairTable:
                     raise
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        names = [c.split()[0] for c in schema.split(", ")]
+        return self.spark.read.schema(schema).parquet(*paths).select(*names)
 
-    def _all_pairs(self) -> DataFrame:
-        return self._read(sorted(self.state["pairs"].values()), _PAIRS)
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("a", "b"), F.lit(self.state["buckets"])).cast("int")
+
+    def _pair_layers(self, only: set[int] | None = None) -> DataFrame:
+        """Pair rows of all buckets, or some; a whole layer is read by its folder."""
+        out = None
+        for root, made, live in self.state["pairs"]:
+            want = live if only is None else [b for b in live if b in only]
+            if want:
+                part = self._read([root] if len(want) == made else [f"{root}/bucket={b}" for b in want], _PAIRS)
+                out = part if out is None else out.unionByName(part)
+        return self._read([], _PAIRS) if out is None else out
+
+    def _depth(self) -> dict[int, int]:
+        """The layers of each bucket."""
+        depth: dict[int, int] = {}
+        for _, _, live in self.state["pairs"]:
+            for b in live:
+                depth[b] = depth.get(b, 0) + 1
+        return depth
+
+    def pairs(self) -> DataFrame:
+        """(a, b, n): the counts as they stand."""
+        rows = self._pair_layers()
+        if max(self._depth().values(), default=0) > 1:
+            rows = rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
+        return rows.where("n <> 0")
 
     def baskets(self) -> DataFrame:
         """(basket hash, items): the sets as they stand; of a basket with several versions the newest."""
@@ -108,15 +155,27 @@ class PairTable:
         return out.select("basket", "items").where(F.size("items") > 0)
 
     def items(self) -> DataFrame:
-        """(item hash, name, n): the number of baskets of each item."""
-        return self._read([self.state["items"]] if self.state["items"] else [], _ITEMS)
+        """(item hash, name, n): the number of baskets of each item. Two names with one hash raise."""
+        rows = self._read(self.state["items"], _ITEMS)
+        one = rows.groupBy("item").agg(F.min("name").alias("name"), F.max("name").alias("other"), F.sum("n").alias("n"))
+        clash = F.raise_error(F.concat(F.lit("one hash for two items: "), "name", F.lit(", "), "other"))
+        return one.select("item", F.when(F.col("name") != F.col("other"), clash).otherwise(F.col("name")).alias("name"), "n").where("n > 0")
+
+    def _write_pairs(self, rows: DataFrame, path: str) -> list[int]:
+        """Writes pair rows summed by pair, in one shuffle by bucket, so that a bucket is one file; returns the buckets."""
+        tasks = min(self.state["buckets"], max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions"))) * 4)
+        met = rows.withColumn("bucket", self._bucket()).repartition(tasks, "bucket")
+        summed = met.groupBy("bucket", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
+        summed.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+        return sorted(int(x.split("=")[1]) for x in folder_names(self.spark, path) if x.startswith("bucket="))
 
     def apply(self, changes: DataFrame, removed: DataFrame | None = None) -> None:
         """Replaces the content of every basket that `changes` (basket, item) names by just these items, and empties those
         of `removed` (basket). All other baskets stay."""
-        spark, version = self.spark, self.state["version"] + 1
+        spark, state = self.spark, self.state
+        version = state["version"] + 1
         at = f"{self.folder}/v{version}-{uuid.uuid4().hex[:8]}"
-        rows = changes.select("basket", "item").where("basket is not null and item is not null").distinct()
+        rows = changes.select("basket", "item").where("basket is not null and item is not null")
         named = rows.select(F.xxhash64("basket").alias("basket"), F.xxhash64("item").alias("item"), F.col("item").alias("name"))
         fresh = named.groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items"))
         if removed is not None:
@@ -124,55 +183,63 @@ class PairTable:
             fresh = fresh.unionByName(gone.join(fresh, "basket", "left_anti"))
         fresh.write.parquet(f"{at}/sets")
         fresh = self._read([f"{at}/sets"], _SETS)
-        old = self.baskets().join(fresh.select("basket"), "basket", "left_semi") if self.state["sets"] else None
         signed = fresh.withColumn("sign", F.lit(1).cast("bigint"))
-        if old is not None:
+        if state["sets"]:
+            old = self.baskets().join(fresh.select("basket"), "basket", "left_semi")
             changed = signed.unionByName(old.withColumn("sign", F.lit(-1).cast("bigint")))
             # a basket whose set is the same as before sends nothing
             signed = changed.groupBy("basket", "items").agg(F.sum("sign").alias("sign")).where("sign <> 0")
-        bucket = F.pmod(F.xxhash64("a", "b"), F.lit(self.buckets)).alias("bucket")
-        deltas = signed_pairs(signed).where("n <> 0")
-        pairs = dict(self.state["pairs"])
-        if pairs:
-            path = f"{at}/deltas"
-            deltas.select("*", bucket).write.partitionBy("bucket").parquet(path)
-            stored = spark.read.schema(_PAIRS + ", bucket int").parquet(path)
-            touched = sorted(str(r.bucket) for r in stored.select("bucket").distinct().collect())  # at most `buckets` rows
-            kept = self._read([pairs[b] for b in touched if b in pairs], _PAIRS)
-            deltas = stored.drop("bucket").unionByName(kept).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
-        else:
-            touched = [str(b) for b in range(self.buckets)]
-        # the hash of the pair is the key of this shuffle too, so a bucket is written by few tasks
-        deltas.select("*", bucket).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{at}/pairs")
-        there = {str(r.bucket) for r in spark.read.schema(_PAIRS + ", bucket int").parquet(f"{at}/pairs").select("bucket").distinct().collect()}
-        for b in touched:
-            pairs.pop(b, None)
-            if b in there:
-                pairs[b] = f"{at}/pairs/bucket={b}"
+        if state["buckets"] is None:
+            size = F.size("items").cast("bigint")
+            made = fresh.agg(F.sum(size * (size - 1) / 2)).first()[0] or 0
+            state["buckets"] = int(min(MOST_BUCKETS, max(BUCKETS, made // BUCKET_PAIRS)))
+        touched = self._write_pairs(pair_rows(signed), f"{at}/pairs")
         counts = signed.select(F.explode("items").alias("item"), "sign").groupBy("item").agg(F.sum("sign").alias("n"))
-        names = named.groupBy("item").agg(F.min("name").alias("name"), F.max("name").alias("other"))
-        merged = counts.join(names, "item", "full").join(self.items().select("item", F.col("name").alias("was"), F.col("n").alias("m")), "item", "full")
-        clash = (F.col("name") != F.col("other")) | (F.col("name") != F.col("was"))
-        name = F.when(clash, F.raise_error(F.concat(F.lit("one hash for two items: "), "name", F.lit(", "), F.coalesce("was", "other")))).otherwise(F.coalesce("name", "was"))
-        merged = merged.select("item", name.alias("name"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).cast("bigint").alias("n")).where("n > 0")
-        merged.write.parquet(f"{at}/items")
-        self.state = {"version": version, "sets": [*self.state["sets"], [version, f"{at}/sets"]], "pairs": pairs, "items": f"{at}/items"}
+        # both names of a hash would be kept, so that a clash shows
+        counts.join(named.select("item", "name").distinct(), "item", "left").select("item", "name", "n").write.parquet(f"{at}/items")
+        new = [[f"{at}/pairs", len(touched), touched]] if touched else []
+        self.state = {"version": version, "buckets": state["buckets"], "sets": [*state["sets"], [version, f"{at}/sets"]], "pairs": [*state["pairs"], *new], "items": [*state["items"], f"{at}/items"]}
+        self._merge(at, self.layers)
         spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.folder}/log/{version}")
 
+    def _merge(self, at: str, layers: int) -> None:
+        """Merges buckets, sets and item counts that have more layers than that."""
+        state = self.state
+        deep = {b for b, n in self._depth().items() if n > layers}
+        if deep:
+            there = self._write_pairs(self._pair_layers(deep), f"{at}/merged-pairs")
+            kept = [[root, made, [b for b in live if b not in deep]] for root, made, live in state["pairs"]]
+            state["pairs"] = [*[x for x in kept if x[2]], *([[f"{at}/merged-pairs", len(there), there]] if there else [])]
+        if len(state["sets"]) > layers:
+            self.baskets().write.parquet(f"{at}/merged-sets")
+            state["sets"] = [[state["version"], f"{at}/merged-sets"]]
+        if len(state["items"]) > layers:
+            self.items().write.parquet(f"{at}/merged-items")
+            state["items"] = [f"{at}/merged-items"]
+
+    def compact(self) -> None:
+        """Merges all layers, as a version of its own."""
+        self.state = json.loads(json.dumps(self.state)) | {"version": self.state["version"] + 1}
+        self._merge(f"{self.folder}/v{self.state['version']}-{uuid.uuid4().hex[:8]}", 1)
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.folder}/log/{self.state['version']}")
+
     def scores(self, least: int = 1, lift: float = 0.0, touching: DataFrame | None = None) -> DataFrame:
         """(item_a, item_b, n, n_a, n_b, lift, pmi), item_a < item_b: pairs in at least `least` baskets that are together at least
         `lift` times as often as chance, n * B / (n_a * n_b), B the number of baskets with an item. touching (item): only
-        pairs with one of these items, to recompute what a change affected."""
+        pairs with one of these items, to recompute what a change affected. The bound is compared in whole numbers, exactly."""
+        bound = Fraction(str(lift))
+        if bound < 0 or bound.denominator > 10**6 or bound.numerator > 10**9:
+            raise ValueError("lift must be a number from 0 to 1000 with at most six decimals")
         total = self.baskets().count()
-        items = self.items()
-        pairs = self._all_pairs().where(F.col("n") >= least)
+        items = written(self.items(), "items")
+        pairs = self.pairs().where(F.col("n") >= max(least, 1))
         if touching is not None:
-            hit = touching.select(F.xxhash64("item").alias("t")).distinct()
-            pairs = pairs.join(hit.withColumnRenamed("t", "a"), "a", "left_semi").unionByName(pairs.join(hit.withColumnRenamed("t", "b"), "b", "left_semi")).distinct()
+            hit = touching.where("item is not null").select(F.xxhash64("item").alias("t")).distinct()
+            pairs = pairs.join(hit.withColumnRenamed("t", "a"), "a", "left_semi").unionByName(pairs.join(hit.withColumnRenamed("t", "a"), "a", "left_anti").join(hit.withColumnRenamed("t", "b"), "b", "left_semi"))
         a, b = (items.select(F.col("item").alias(x), F.col("name").alias(f"name_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-        full = pairs.join(a, "a").join(b, "b")
-        factor = F.col("n").cast("decimal(38,0)") * total >= F.lit(str(lift)).cast("decimal(9,4)") * F.col("n_a").cast("decimal(14,0)") * F.col("n_b").cast("decimal(14,0)")
-        full = full.where(factor)
+        full = lookup_join(lookup_join(pairs, a, "a"), b, "b")
+        whole = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
+        full = full.where(whole("n", 18) * F.lit(total * bound.denominator).cast("decimal(20,0)") >= whole("n_a", 14) * whole("n_b", 14) * F.lit(bound.numerator).cast("decimal(10,0)"))
         first = F.col("name_a") < F.col("name_b")
         ratio = F.col("n") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b").cast("double"))
         return full.select(
@@ -180,3 +247,20 @@ class PairTable:
             F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"),
             ratio.alias("lift"), F.log2(ratio).alias("pmi"),
         )
+
+
+def apply_in_loads(table: PairTable, rows: DataFrame, loads: int) -> DataFrame:
+    """Applies rows (basket, item, at timestamp) to the table as they arrived, in `loads` loads that cover equal spans of time: each replaces the baskets that got an
+    item in its span by their content at its end. Returns the items (item) of the baskets that the last load changed. Rows without a time belong to the first load."""
+    first = written(rows.where("basket is not null and item is not null").groupBy("basket", "item").agg(F.unix_micros(F.min(F.col("at").cast("timestamp"))).alias("at")), "arrivals")
+    span = first.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    lo, hi = (span.lo or 0, span.hi or 0)
+    ends = [lo + (hi - lo) * (i + 1) // loads for i in range(loads)]
+    seen, touched = F.coalesce("at", F.lit(lo)), None
+    for i, end in enumerate(ends):
+        held = first.where(seen <= end)
+        if i:
+            touched = first.where((seen > ends[i - 1]) & (seen <= end)).select("basket").distinct()
+            held = held.join(touched, "basket", "left_semi")
+        table.apply(held)
+    return held.select("item").distinct()

@@ -13,6 +13,8 @@ from tidemark.sources.tables import load
 SIMILAR, LEAST_SIZE = 0.7, 4
 #: Least number of baskets of a pair, and least ratio to chance.
 TOGETHER, LIFT = 10, 3.0
+#: Loads in which the mentions come to the pair table, by the time they were loaded.
+LOADS = 3
 
 
 def _releases(spark: SparkSession, d: str) -> DataFrame:
@@ -45,21 +47,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("resolution_id", F.col("target").alias("benchmark_id"))
 
 
-def _pair_table(spark: SparkSession, d: str) -> cooccur.PairTable:
+def _pair_table(spark: SparkSession, d: str) -> tuple[cooccur.PairTable, DataFrame]:
+    """The pair table after mentions were applied as they were loaded, and the items that the last load touched."""
     table = cooccur.PairTable(spark)
-    table.apply(load(spark, d, "mentions").select(norm_name("model_name").alias("basket"), norm_id("benchmark_id").alias("item")))
-    return table
+    rows = load(spark, d, "mentions").select(norm_name("model_name").alias("basket"), norm_id("benchmark_id").alias("item"), F.col("loaded_at").alias("at"))
+    return table, cooccur.apply_in_loads(table, rows, LOADS)
+
+
+def _score_columns(scores: DataFrame) -> DataFrame:
+    return scores.select(F.col("item_a").alias("benchmark_id_a"), F.col("item_b").alias("benchmark_id_b"), "n", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of benchmarks that are evaluated together far more often than chance."""
-    return _pair_table(spark, d).scores(TOGETHER, LIFT).select(F.col("item_a").alias("benchmark_id_a"), F.col("item_b").alias("benchmark_id_b"))
+    return _pair_table(spark, d)[0].scores(TOGETHER, LIFT).select(F.col("item_a").alias("benchmark_id_a"), F.col("item_b").alias("benchmark_id_b"))
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     """Count and lift of every pair of benchmarks in at least TOGETHER baskets."""
-    out = _pair_table(spark, d).scores(TOGETHER)
-    return out.select(F.col("item_a").alias("benchmark_id_a"), F.col("item_b").alias("benchmark_id_b"), "n", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+    return _score_columns(_pair_table(spark, d)[0].scores(TOGETHER))
+
+
+def p6_affected(spark: SparkSession, d: str) -> DataFrame:
+    """The scores that the last load affected: those of pairs with an item of a basket that it changed."""
+    table, touched = _pair_table(spark, d)
+    return _score_columns(table.scores(TOGETHER, touching=touched))
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +106,7 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _stretches(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p6_found, p6_scores, p7_packed, p8_found, p8_cleaned, p9_found, p9_stretches)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p6_found, p6_scores, p6_affected, p7_packed, p8_found, p8_cleaned, p9_found, p9_stretches)}
 
 _SETS = """with m as (select distinct model_row_id r, lower(trim(benchmark_id)) b from mentions where nullif(trim(benchmark_id), '') is not null),
 s as (select r, count(*) n, md5(string_agg(b, '|' order by b)) h from m group by r having count(*) >= 4),
@@ -112,4 +124,8 @@ SQL = {
     "p3_classes": _SETS + "select s.r model_row_id, min(s.r) over (partition by h) class_id, coalesce(l.n, 0) links from s left join (select r, count(*) n from (select a r from f union all select b from f) group by 1) l on l.r = s.r",
     "p6_found": _BASKETS + "select p.a benchmark_id_a, p.b benchmark_id_b from p join c x on x.b = p.a join c y on y.b = p.b, t where p.n * t.b >= 3 * x.n * y.n",
     "p6_scores": _BASKETS + "select p.a benchmark_id_a, p.b benchmark_id_b, p.n, x.n n_a, y.n n_b, round(p.n * t.b::double / (x.n * y.n::double), 6) lift from p join c x on x.b = p.a join c y on y.b = p.b, t",
+    "p6_affected": _BASKETS + """, r as (select lower(trim(regexp_replace(model_name, '\\s+', ' ', 'g'))) k, lower(trim(benchmark_id)) b, min(epoch_us(loaded_at)) seen from mentions
+  where nullif(trim(benchmark_id), '') is not null and nullif(trim(model_name), '') is not null group by 1, 2), e as (select min(seen) + (max(seen) - min(seen)) * 2 // 3 t from r),
+x as (select distinct b from r where k in (select k from r, e where seen > e.t))
+select p.a benchmark_id_a, p.b benchmark_id_b, p.n, x.n n_a, y.n n_b, round(p.n * t.b::double / (x.n * y.n::double), 6) lift from p join c x on x.b = p.a join c y on y.b = p.b, t where p.a in (select b from x) or p.b in (select b from x)""",
 }
