@@ -31,8 +31,10 @@ from tidemark.session import written
 SPLITS = 2
 #: Tokens with this share of all (record, token) rows have their frequency known to the tasks; at most 1/share tokens.
 FREQUENT = 0.0005
-#: Members of a class that one task pairs with the others.
+#: Members of a class that are paired at a time.
 BLOCK = 1024
+#: Share of the stored signatures from which one is dealt out over blocks, of so many rows each.
+HOT, BLOCK_ROWS = 0.0005, 20_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,48 +165,108 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.select(F.col("class_id").alias("id"), "tokens", "n"), members
 
 
-def similar_classes(classes: DataFrame, threshold: float, splits: int = SPLITS) -> DataFrame:
-    """(id_a, id_b, shared, jaccard) of all pairs of distinct classes (id, tokens) with jaccard >= threshold, id_a < id_b."""
-    t = Fraction(str(threshold))
-    if not 0 < t <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
-    hashed = classes.select("id", F.size("tokens").alias("size"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes")).where("size > 0")
-    tokens = classes.select(F.explode("tokens").alias("token"))
-    known = heavy_keys(tokens, "token", FREQUENT).select(F.xxhash64("key").alias("h"), "n", "total").collect()  # at most 1/FREQUENT rows
-    n_sets = max(1, classes.count())
+def _hashed(sets: DataFrame) -> DataFrame:
+    return sets.select("id", F.size("tokens").alias("size"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes")).where("size > 0")
+
+
+def _token_costs(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes of the frequent tokens, sorted, the logarithm of the share of sets that have each, and that of any other token."""
+    known = heavy_keys(sets.select(F.explode("tokens").alias("token")), "token", FREQUENT).select(F.xxhash64("key").alias("h"), "n").collect()  # at most 1/FREQUENT rows
+    n_sets = max(1, sets.count())
     known = sorted((r.h % 2**64, np.log(min(1.0, r.n / n_sets))) for r in known)
-    frequent, logp = np.array([h for h, _ in known], np.uint64), np.array([p for _, p in known], float)
-    rare = min([*logp, -6.0]) - 1.0
-    id_type = dict(classes.dtypes)["id"]
-    schema = f"key bigint, id {id_type}, size int, sketch bigint, deleted boolean"
-    index = hashed.mapInPandas(_emit(t, frequent, logp, rare, splits, False), schema).alias("r")
-    probe = hashed.mapInPandas(_emit(t, frequent, logp, rare, splits, True), schema).alias("s")
+    logp = np.array([p for _, p in known], float)
+    return np.array([h for h, _ in known], np.uint64), logp, min([*logp, -6.0]) - 1.0
+
+
+def _candidates(stored: DataFrame, asking: DataFrame, t: Fraction, costs: tuple[np.ndarray, np.ndarray, float], splits: int, order: str) -> DataFrame:
+    """(r, s): ids of stored and asking sets with a signature in common that pass the tests of size and sketch; order: the condition on r and s that keeps each pair once,
+    of which the stored set must not be the larger one.
+
+    Stored signatures are written once. Those that hold HOT of them or more, at most 1/HOT, are dealt out over blocks of BLOCK_ROWS rows, to each of which the sets that
+    ask for them go; a signature that many sets ask for but few hold is left to the splitting of skewed joins at run time.
+    """
     p, q = t.numerator, t.denominator
-    pairs = index.join(probe, F.expr(
-        f"r.key = s.key and not (r.deleted and s.deleted) and (r.size < s.size or (r.size = s.size and r.id < s.id)) and r.size * {q} >= s.size * {p}"
+    id_r, id_s = dict(stored.dtypes)["id"], dict(asking.dtypes)["id"]
+    schema = "key bigint, id {}, size int, sketch bigint, deleted boolean"
+    index = written(_hashed(stored).mapInPandas(_emit(t, *costs, splits, False), schema.format(id_r)), "signatures")
+    probe = _hashed(asking).mapInPandas(_emit(t, *costs, splits, True), schema.format(id_s))
+    hot = [(r.key, -(-r.n // BLOCK_ROWS)) for r in heavy_keys(index, "key", HOT).where(F.col("n") > BLOCK_ROWS).collect()]  # at most 1/HOT rows
+    on = "r.key = s.key"
+    if hot:
+        blocks = F.broadcast(index.sparkSession.createDataFrame(hot, "key bigint, blocks bigint"))
+        one = F.lit(1).cast("bigint")
+        index = index.join(blocks, "key", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", one))).drop("blocks")
+        probe = probe.join(blocks, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("blocks", one) - 1))).drop("blocks")
+        on += " and r.block = s.block"
+    return index.alias("r").join(probe.alias("s"), F.expr(
+        f"{on} and not (r.deleted and s.deleted) and ({order}) and r.size * {q} >= s.size * {p}"
         f" and bit_count(r.sketch ^ s.sketch) <= ({q - p} * (r.size + s.size)) div {q + p}"
-    )).select(F.least("r.id", "s.id").alias("id_a"), F.greatest("r.id", "s.id").alias("id_b")).distinct()
-    a, b = (classes.select(F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
+    )).select(F.col("r.id").alias("r"), F.col("s.id").alias("s"))
+
+
+def _verified(pairs: DataFrame, a: DataFrame, b: DataFrame, t: Fraction) -> DataFrame:
+    """(id_a, id_b, shared, jaccard) of the pairs (id_a, id_b) that reach the threshold, by their sets (id, tokens)."""
+    a, b = (sets.select(F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"t_{x}")) for sets, x in ((a, "a"), (b, "b")))
     full = pairs.join(a, "id_a").join(b, "id_b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")))
-    full = full.withColumn("either", F.size("t_a") + F.size("t_b") - F.col("shared")).where(f"shared * {q} >= either * {p}")
+    full = full.withColumn("either", F.size("t_a") + F.size("t_b") - F.col("shared")).where(f"shared * {t.denominator} >= either * {t.numerator}")
     return full.select("id_a", "id_b", "shared", (F.col("shared") / F.col("either")).alias("jaccard"))
 
 
+def _fraction(threshold: float) -> Fraction:
+    t = Fraction(str(threshold))
+    if not 0 < t <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    return t
+
+
+def similar_classes(classes: DataFrame, threshold: float, splits: int = SPLITS) -> DataFrame:
+    """(id_a, id_b, shared, jaccard) of all pairs of distinct classes (id, tokens) with jaccard >= threshold, id_a < id_b."""
+    t = _fraction(threshold)
+    found = _candidates(classes, classes, t, _token_costs(classes), splits, "r.size < s.size or (r.size = s.size and r.id < s.id)")
+    return _verified(found.select(F.least("r", "s").alias("id_a"), F.greatest("r", "s").alias("id_b")).distinct(), classes, classes, t)
+
+
+def similar_between(a: DataFrame, b: DataFrame, record: str, token: str, threshold: float, least: int = 1, splits: int = SPLITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, members of a, members of b): the pairs (id_a, id_b, shared, jaccard) of class representatives of table a and of table b that reach the threshold, and
+    the members (id, class_id, n) of either table's classes. Equal sets of the two tables are a pair with jaccard 1.
+
+    Both tables have (record, token) rows as in similar_records; their ids may clash. No pair within a table is looked at: the sets of a are stored and
+    asked for by the sets of b that are as large or larger, then those of b by the larger sets of a.
+    """
+    t = _fraction(threshold)
+    (ca, ma), (cb, mb) = (set_classes(written(record_sets(df, record, token, least), "sets")) for df in (a, b))
+    ca, cb = written(ca, "classes"), written(cb, "classes")
+    costs = _token_costs(ca.select("tokens").unionByName(cb.select("tokens")))
+    small = _candidates(ca, cb, t, costs, splits, "r.size <= s.size").select(F.col("r").alias("id_a"), F.col("s").alias("id_b"))
+    large = _candidates(cb, ca, t, costs, splits, "r.size < s.size").select(F.col("s").alias("id_a"), F.col("r").alias("id_b"))
+    return _verified(small.unionByName(large).distinct(), ca, cb, t), ma, mb
+
+
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """(class_id, part, ids): the members of each class in parts of about `block`, spread by a hash."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block).cast("bigint"))
+    return members.groupBy("class_id", part.alias("part")).agg(F.collect_list("id").alias("ids"))
+
+
 def expand(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs of classes and the pairs within each class, as pairs of their members. Large classes are
-    cut into blocks, so a task pairs at most `block` members of one class with those of another."""
-    blocks = F.ceil(F.col("n") / block).cast("bigint")
-    own = members.withColumn("part", F.pmod(F.xxhash64("id"), blocks))
-    many = own.where("n > 1")
-    within = many.select("class_id", "part", F.col("id").alias("x")).join(
-        members.where("n > 1").select("class_id", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("part"), F.col("id").alias("y")), ["class_id", "part"]
-    ).where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
-    copies = many.select(F.col("class_id").alias("id_a"), F.col("id").alias("x"))
-    left = pairs.join(copies, "id_a", "left").select(F.coalesce("x", "id_a").alias("x"), "id_b")
-    copies = many.select(F.col("class_id").alias("id_b"), F.col("id").alias("y"))
-    across = left.join(copies, "id_b", "left").select("x", F.coalesce("y", "id_b").alias("y"))
-    across = across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return across.unionByName(within)
+    """(id_a, id_b), id_a < id_b: pairs of classes and the pairs within each class, as pairs of their members. Large classes are cut into parts of about `block`
+    members, and pairs of parts are what is spread over the tasks, so no task pairs more than two parts at a time. For all pairs of copies this is as much as
+    they are; links() says the same by counts."""
+    parts = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.coalesce(c, F.lit(1)) / block).cast("bigint") - 1))
+    many = members.where("n > 1")
+    held = _in_blocks(many, block)
+    sizes = many.where("id = class_id").select("class_id", "n")
+    side = lambda x: held.select(F.col("class_id").alias(f"id_{x}"), F.col("part").alias(f"part_{x}"), F.col("ids").alias(f"ids_{x}"))
+    size = lambda x: sizes.select(F.col("class_id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"))
+    cut = pairs.select("id_a", "id_b").join(size("a"), "id_a", "left").join(size("b"), "id_b", "left")
+    cut = cut.select("id_a", "id_b", "n_a", "n_b", parts("n_a").alias("part_a")).select("*", parts("n_b").alias("part_b"))
+    ids = lambda x: F.explode(f"ids_{x}").alias(x)
+    whole = lambda x: F.when(F.col(f"n_{x}").isNull(), F.array(f"id_{x}")).otherwise(F.col(f"ids_{x}")).alias(f"ids_{x}")
+    across = cut.join(side("a"), ["id_a", "part_a"], "left").join(side("b"), ["id_b", "part_b"], "left").select(whole("a"), whole("b")).select(ids("a"), "ids_b").select("a", ids("b"))
+    own = sizes.select(F.col("class_id").alias("id_a"), F.col("class_id").alias("id_b"), "n", parts("n").alias("part_a")).select("id_a", "id_b", "part_a", parts("n").alias("part_b")).where("part_a <= part_b")
+    within = own.join(side("a"), ["id_a", "part_a"]).join(side("b"), ["id_b", "part_b"])
+    within = within.select((F.col("part_a") == F.col("part_b")).alias("one"), "ids_b", ids("a")).select("one", "a", ids("b")).where("not one or a < b").drop("one")
+    return across.unionByName(within).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
 def similar_records(df: DataFrame, record: str, token: str, threshold: float, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -212,8 +274,8 @@ def similar_records(df: DataFrame, record: str, token: str, threshold: float, le
 
     df: (record, token) rows, in any order, repeated or not. Null records and tokens are skipped; records with fewer than
     `least` distinct tokens take no part. Every record is a member of one class, whose id is its least member; equal
-    records are linked through their class. For records of two tables, union them with distinct ids and keep the
-    pairs across. Nothing is capped: each pair that reaches the threshold comes out once.
+    records are linked through their class. similar_between is the form for two tables. Nothing is capped: each pair that reaches the
+    threshold comes out once.
     """
     classes, members = set_classes(written(record_sets(df, record, token, least), "sets"))
     classes = written(classes, "classes")
