@@ -123,3 +123,48 @@ def test_long_names_in_another_order():
         best = min(distance("".join(p), name, 2.0) for p in permutations(bag))
         got = _best_order(bag, name, 2.0)
         assert got == best if best <= 2.0 else got is None
+
+
+def test_random_entries_in_any_number_of_passes(spark):
+    """Entries one by one, seven at a time and all at once give the same rows, whatever the entries and the typing."""
+    rng = random.Random(31)
+    syllables = ["bra", "ton", "quel", "mir", "sask", "dol", "fen", "gru"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randrange(1, 4))).capitalize()
+    names = [" ".join(word() for _ in range(rng.randrange(1, 6))) + rng.choice(["", " 2", " v3", ""]) for _ in range(14)]
+    entries = [(n, rng.choice([f"t{i}", f"t{i}", None]), rng.randrange(4)) for i, n in enumerate(names)] + [(names[0], "again", 2), (names[1].upper(), "upper", 2)]
+
+    def typed():
+        w = rng.choice(names).split()
+        if rng.random() < 0.3:
+            rng.shuffle(w)
+        s = " ".join(w)
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(s))
+            s = s[:i] + rng.choice(["", s[i] * 2, "x", "e"]) + s[i + 1 :]
+        return rng.choice(["", "", "Acme "]) + s + rng.choice(["", "", " (5-shot)", " score", ": 71.3 %"])
+
+    df = spark.createDataFrame([(i, typed()) for i in range(120)], "rid bigint, raw string")
+    table = spark.createDataFrame(entries, "name string, target string, n int")
+    prov = spark.createDataFrame([("Acme",)], "provider string")
+    got = [sorted(map(repr, map_to_canonical(df, "rid", "raw", table, prov, max_entries=k).collect())) for k in (1000, 7, 1)]
+    assert got[0] == got[1] == got[2]
+    assert sum(UNMATCHED not in r for r in got[0]) > 60
+
+
+def test_against_all_entries():
+    """What the dictionary finds is what trying every entry finds, for names with one to four slips in words of any length."""
+    rng = random.Random(17)
+    names = ["".join(rng.choices("abcdeo", k=rng.randrange(5, 18))) for _ in range(60)]
+    m = Matcher([(n, n, 1) for n in names])
+    for _ in range(400):
+        s = list(rng.choice(names))
+        for _ in range(rng.randrange(1, 5)):
+            i = rng.randrange(len(s))
+            s[i : i + rng.choice((0, 1, 1))] = rng.choice([[], ["a"], ["x"]])
+            s = s or ["a"]
+        w = tokens(simplify("".join(s)))
+        if len(w) != 1 or not w[0].isalpha() or len(w[0]) < 4:
+            continue
+        near = sorted((distance(w[0], n, bound(len(n), 1)), n) for n in names if distance(w[0], n, bound(len(n), 1)) <= bound(len(n), 1))
+        hit = m._nearest(w)
+        assert (hit is None and not near) or (hit[0], hit[2]) == near[0], (w, near[:2], hit)

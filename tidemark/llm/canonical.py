@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+import uuid
+from collections import OrderedDict, defaultdict
 from collections.abc import Collection, Iterator, Sequence
 from itertools import permutations
 
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 UNMATCHED = "unmatched"
 #: Entries that the tasks hold at once, counted first; longer lists are taken in several passes.
 MAX_ENTRIES = 50_000
@@ -336,13 +339,26 @@ class Matcher:
         return min(ranked, key=lambda r: (*r[:5], r[5] or "")) if ranked else None
 
 
+_MATCHERS: OrderedDict[str, Matcher] = OrderedDict()
+
+
+def _matcher(name: str, shared) -> Matcher:
+    """The matcher of broadcast entries, which have a name of their own; built once in a worker process, of which the last two are kept."""
+    if name not in _MATCHERS:
+        _MATCHERS[name] = Matcher(*shared.value)
+        while len(_MATCHERS) > 2:
+            _MATCHERS.popitem(last=False)
+    return _MATCHERS[name]
+
+
 def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame, providers: DataFrame | None = None, own_provider: str | None = None, max_entries: int = MAX_ENTRIES, max_providers: int = MAX_PROVIDERS) -> DataFrame:
     """(key, raw, target, distance): for each row of `values` the target of the entry that is meant, or UNMATCHED.
 
     entries: (name, target, n); a null target is a name that stands for nothing, n how often the entry is referred to. A name with
     several targets goes to the most frequent, then the least. Rows repeated with one key count once (the least raw value). Null, empty
     and unreadable values are unmatched. Rows are matched where they lie; up to `max_entries` entries, counted first,
-    go to the tasks at once, and longer lists are taken in passes, over which hits are ranked as in one. providers: (provider), names that may
+    go to the tasks at once, and longer lists are taken in passes, over which hits are ranked as in one; a pass's hits are written before the next part
+    is sent, so that the driver holds one part at a time. providers: (provider), names that may
     stand before a value.
     """
     rows = values.select(F.col(key).alias("key"), F.col(raw).alias("raw"), (F.col(own_provider) if own_provider else F.lit(None).cast("string")).alias("own"))
@@ -365,13 +381,16 @@ def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame,
         part = [(r.name, r.target, r.n or 0) for r in (found.where(F.col("part") == i) if passes > 1 else found).collect()]
         shared = spark.sparkContext.broadcast((part, known))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(*shared.value)
+        def run(batches: Iterator[pd.DataFrame], shared=shared, held=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            matcher = _matcher(held, shared)
             for b in batches:
                 hits = [matcher.rank(v, o, frozenset(tuple(p.split(" ")) for p in (q if q is not None else ())) if many else None) or (None,) * 6 for v, o, q in zip(b["raw"], b["own"], b["near"], strict=True)]
                 yield pd.DataFrame({"key": b["key"], "raw": b["raw"]} | {c: pd.Series([h[j] for h in hits], dtype=object) for j, c in enumerate(("reordered", "distance", "left_out", "place", "rare", "target"))})
 
         one = rows.mapInPandas(run, schema)
+        if passes > 1:
+            one = written(one, "hits")
+            shared.destroy()
         out = one if out is None else out.unionByName(one)
     if passes > 1:
         rank = F.struct("reordered", "distance", "left_out", "place", "rare", F.coalesce("target", F.lit("")).alias("at"), "target")
