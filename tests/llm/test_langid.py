@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import langid
@@ -76,3 +77,60 @@ def test_table(spark):
     assert langid.language_stretches(df, "doc", "t", None).count() == 0
     assert langid.language_stretches(df.limit(0), "doc", "t", fit).count() == 0
     assert all(0 < r.confidence <= 1 for r in found.collect())
+
+
+def test_unknown_languages(profiles):
+    """Texts in languages that were not trained, also of other scripts, are `und`, alone and beside a known one."""
+    foreign = {
+        "ru": "Жила-была маленькая девочка, которая жила с бабушкой в домике у леса. Каждый день она ходила в деревню за хлебом и молоком для них обеих.",
+        "fi": "Olipa kerran pieni tyttö, joka asui isoäitinsä kanssa mökissä metsän reunassa. Hän kävi joka päivä kylässä ostamassa leipää ja maitoa heille molemmille.",
+        "tr": "Bir zamanlar ormanın kenarında büyükannesiyle birlikte yaşayan küçük bir kız vardı. Her gün köye gidip ikisi için ekmek ve süt alırdı.",
+    }
+    for t in foreign.values():
+        assert {g[0] for g in _langs(t, profiles)} == {langid.UNKNOWN}
+    en = _text("en", 4, random.Random(1))
+    assert [g[0] for g in _langs(en + "\n" + foreign["ru"] * 3, profiles)] == ["en", langid.UNKNOWN]
+    assert {g[0] for g in _langs("これは小さな女の子の物語です。彼女は毎日村へ行きました。", profiles)} == {langid.UNKNOWN}
+
+
+def test_languages_of_the_data(spark):
+    """A language that no list names is learned from its labels; codes for no language, labels with hardly a text and labels given at random make none."""
+    sv = ["den gamla bron vid hamnen stängdes på grund av den starka vinden", "ingen i byn hade sett ett så stort skepp före den kvällen", "vi borde läsa hela rapporten en gång till innan mötet börjar i morgon", "hon sade till sin bror att trädgården skulle behöva mer vatten i sommar"]
+    rng = random.Random(3)
+    rows = [(_text(x, 6, rng), x) for x in SENT for _ in range(12)] + [(" ".join(rng.choice(sv).capitalize() + "." for _ in range(6)), "sv-SE") for _ in range(12)]
+    rows += [(_text(x, 6, rng), odd) for odd in ("xx", "und", "qq") for x in SENT for _ in range(2)] + [(_text("en", 6, rng), "nl")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc bigint, t string, l string")
+    fit = langid.fit_profiles(df, "doc", "t", "l", dimension=1024)
+    assert fit.languages == ["de", "en", "es", "fr", "sv"]
+    assert {r[4] for r in langid.stretches([" ".join(sv[:2]).capitalize() + "."], fit)} == {"sv"}
+    wrong = {tuple(r) for r in langid.mislabelled(df, "doc", "t", "l", langid.language_stretches(df, "doc", "t", fit)).collect()}
+    assert {d for d, _ in wrong} == set(range(60, 60 + 25))
+
+
+def test_places_in_the_text_as_it_stands(profiles):
+    """Characters count in the stored text, also after broken encoding, soft hyphens and loose accents."""
+    rng = random.Random(5)
+    fr = _text("fr", 3, rng).encode().decode("latin-1")
+    en = _text("en", 3, rng).replace("bridge", "bri\xaddge").replace("village", "villa\u0301ge")
+    text = "  " + fr + "\n" + en + "\n" + _text("de", 2, rng)
+    (x, a, b), (y, c, d), (z, e, f) = _langs(text, profiles)
+    assert (x, y, z) == ("fr", "en", "de")
+    assert text[:a].strip() == "" and text[a:b].strip() == fr.strip() and text[c:d].strip() == en.strip() and f == len(text)
+
+
+def test_confidence_is_what_it_says():
+    """On short held-out stretches, stretches with a confidence of p are right in about p of all cases."""
+    rng = random.Random(11)
+    alphabet = "abcdefghij"
+    words = {x: ["".join(rng.choices(alphabet[i : i + 7], k=rng.randrange(3, 7))) for _ in range(60)] for i, x in enumerate(("aa", "bb", "cc"))}
+    made = lambda x, n: " ".join(rng.choice(words[x] if rng.random() < 0.6 else words[rng.choice(list(words))]) for _ in range(n)).capitalize() + "."
+    fit = langid.train([" ".join(made(x, 7) for _ in range(12)) for x in words for _ in range(40)], [x for x in words for _ in range(40)], 2048)
+    got = []
+    for _ in range(3000):
+        x = rng.choice(list(words))
+        got += [(r[5], r[4] == x) for r in langid.stretches([made(x, 5)], fit)]
+    p, right = np.array([g[0] for g in got]), np.array([g[1] for g in got])
+    assert 0.6 < right.mean() < 0.999 and abs(p.mean() - right.mean()) < 0.05
+    order = np.argsort(p)
+    for part in np.array_split(order, 10):
+        assert abs(p[part].mean() - right[part].mean()) < 0.15, (p[part].mean(), right[part].mean())
