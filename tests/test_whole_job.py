@@ -52,6 +52,7 @@ def _small(spark, monkeypatch, mentions, facets):
     """Puts mentions (model_row_id, day, benchmark_id) and facets (benchmark_id, axis, label, confidence) in place of the tables."""
     m = spark.createDataFrame([(str(i), r, "p", "m", dt.date.fromisoformat(x), i, b, b, int(x[:4])) for i, (r, x, b) in enumerate(mentions)], "mention_id string, model_row_id bigint, provider string, model_name string, release_date date, mention_index int, raw_mention string, benchmark_id string, release_year bigint")
     f = spark.createDataFrame([(i, *x, "accepted") for i, x in enumerate(facets)], "facet_row_id bigint, benchmark_id string, facet_axis string, facet_label string, confidence double, review_status string")
+    monkeypatch.setattr(base, "cutoff", lambda *_: dt.date(2025, 12, 31))
     monkeypatch.setattr(base, "mentions", lambda *_: m)
     monkeypatch.setattr(base, "facets", lambda _spark, _d, active=True: f if active else f.unionByName(f.limit(1).withColumn("review_status", F.lit("deprecated"))))
 

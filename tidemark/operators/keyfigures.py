@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.sizes import heavy_keys
 from tidemark.session import written
 
-#: Keys with this share of the rows or more get their quantiles by refined histograms.
+#: Keys with this share of the rows or more get their quantiles by refined histograms; fewer where there are many tasks, so that no other key fills one.
 HOT_SHARE = 0.002
 #: Bins into which an interval is split in a pass.
 BINS = 256
@@ -48,11 +49,12 @@ def _from_long(c: str, kind: T.DataType):
     return F.col(c).cast(kind)
 
 
-def key_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float] = (0.5,), hot_share: float = HOT_SHARE, bins: int = BINS) -> DataFrame:
+def key_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float] = (0.5,), hot_share: float | None = None, bins: int = BINS) -> DataFrame:
     """(key, prob, value): the exact discrete quantiles of each non-null key, the least value whose rank reaches prob.
 
     Null values have no rank; a key without values gives no row. Ties and repeated rows each keep their rank.
-    Keys below hot_share of the rows are grouped as usual. For the others, at most 1/hot_share keys, an interval is
+    Keys below hot_share of the rows (by default HOT_SHARE, or half a task's share where that is less) are counted by value, and the values are
+    taken in order with running counts, which spill and hold no key in memory. For the others, at most 1/hot_share keys, an interval is
     kept per key and prob that holds the quantile; each pass counts the values of its bins, merged before they
     are shuffled, and narrows it to the bin of the sought rank, until one value is left. A pass moves at most
     `bins` counts per interval and task and never a hot key's values; dates take two passes, timestamps at most seven.
@@ -62,12 +64,17 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float] =
     spark, kind = df.sparkSession, df.schema[value].dataType
     # two narrow columns, written once, as every pass reads them
     rows = written(df.select(F.col(key).alias("key"), _as_long(value, kind).alias("v")).where("key is not null and v is not null"), "quantiles")
+    if hot_share is None:
+        hot_share = min(HOT_SHARE, 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = [r.key for r in heavy_keys(rows, "key", hot_share).select("key").collect()]
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    picks = [F.expr(f"percentile_disc({p!r}D) within group (order by v)").cast("bigint").alias(f"q{i}") for i, p in enumerate(probs)]
-    light = rows.where(~is_hot).groupBy("key").agg(*picks)
-    stack = ", ".join(f"{p!r}D, q{i}" for i, p in enumerate(probs))
-    out = light.selectExpr("key", f"stack({len(probs)}, {stack}) as (prob, v)")
+    counted = rows.where(~is_hot).groupBy("key", "v").agg(F.count("*").alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy("v")))
+    # the value whose ranks, upto - n + 1 to upto of all, hold the least rank that reaches prob
+    upto = upto.withColumn("all", F.sum("n").over(Window.partitionBy("key").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(str(p)).cast("decimal(20,18)") * F.col("all")).cast("bigint"))
+    hits = F.array_compact(F.array(*[F.when((F.col("upto") - F.col("n") < rank(p)) & (rank(p) <= F.col("upto")), F.lit(float(p))) for p in probs]))
+    out = upto.select("key", F.explode(hits).alias("prob"), "v")
     if hot:
         out = out.unionByName(_refined(spark, rows.where(is_hot), probs, bins))
     return out.select("key", "prob", _from_long("v", kind).alias("value"))
@@ -99,6 +106,5 @@ def _refined(spark, rows: DataFrame, probs: Sequence[float], bins: int) -> DataF
 
 
 def _ceil(p: float, n: int) -> int:
-    """The least rank r with r/n >= p, safe against rounding."""
-    r = int(p * n)
-    return r if r / n >= p else r + 1
+    """The least rank r with r/n >= p, p as it is written."""
+    return int(-(-Fraction(str(p)) * n // 1))

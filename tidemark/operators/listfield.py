@@ -26,7 +26,7 @@ PLACEHOLDERS = ("", "-", "--", "–", "—", "?", ".", "...", "…", "n/a", "n.a
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "”": "”", "＂": "＂"}
 #: Signs that separate wherever they stand outside quotes and brackets.
 SEPARATORS = ",;|\n\r\t，、；｜·•‧・"
-#: Protected names that a task may be given as one pattern; beyond it, catalogue names are matched by a join.
+#: Protected names that a task may be given as one pattern; beyond it, catalogue names are matched by a join, with the same result.
 MAX_PROTECTED = 20_000
 
 _BRACKETS = {"(": ")", "（": "）", "[": "]", "{": "}"}
@@ -162,11 +162,12 @@ def split_values(text: str | None, protected: re.Pattern | None = None, placehol
 def split_list_field(df: DataFrame, row_id: str, field: str, catalogue: DataFrame | None = None, name: str = "name", limit: int = MAX_PROTECTED) -> DataFrame:
     """One row per value of `field`: (row_id, item_pos from 1, item_name). Columns besides these two are not read.
 
-    A row with a null id is kept. Rows repeated with one id count once (of differing fields, the greatest). Null, empty and
+    A row with a null id is kept. Rows repeated with one id count once; of differing fields the greatest counts, so that the choice does not depend on
+    the order of the rows (keep the newest row before, where rows are corrected). Null, empty and
     placeholder fields give no row; a value named twice gives two. A name of catalogue[name] is never split.
     Of the catalogue only names that hold a separating sign matter: up to `limit` of them, counted first, go to the
     tasks as one pattern. Where there are more, the runs of neighbouring pieces that a field could hold as one name
-    are joined with the catalogue, and a task protects just the names that its own rows turned out to hold.
+    are joined with the catalogue, and a batch protects just the names that its own rows turned out to hold. Both ways give the same values.
     """
     rows = df.select(F.col(row_id).alias("row_id"), F.col(field).alias("field"))
     known = rows.where(F.col("row_id").isNotNull()).groupBy("row_id").agg(F.max("field").alias("field"))
@@ -180,7 +181,7 @@ def split_list_field(df: DataFrame, row_id: str, field: str, catalogue: DataFram
         if len(names) > limit:
             rows, names = _with_own_names(rows, risky), None
     if names is None:
-        spread = rows.mapInPandas(lambda batches: _split_own(batches), schema)
+        spread = rows.mapInPandas(_split_own, schema)
     else:
         fixed = protected_pattern(names)
 
@@ -200,7 +201,9 @@ def _frame(ids: pd.Series, lists: Iterable[list[str]]) -> pd.DataFrame:
 
 def _split_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield _frame(b["row_id"], (split_values(t, protected_pattern(own) if own is not None and len(own) else None) for t, own in zip(b["field"], b["own"], strict=True)))
+        names = {n for own in b["own"] if own is not None for n in own}
+        protected = protected_pattern(names) if names else None
+        yield _frame(b["row_id"], (split_values(t, protected) for t in b["field"]))
 
 
 def _pieces(text: str) -> list[str]:
@@ -216,12 +219,23 @@ def _runs(text: str, widths: Iterable[int]) -> list[str]:
     return list({run.casefold() for run in runs if _STOP.search(run)})
 
 
+def _name_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        pieces = [_pieces(n) for n in b["n"]]
+        yield pd.DataFrame({"n": b["n"], "run": ["".join(p).casefold() for p in pieces], "w": [len(p) for p in pieces]})
+
+
 def _with_own_names(rows: DataFrame, risky: DataFrame) -> DataFrame:
     """rows with `own`, the catalogue names that the field may hold; a shuffle join, for catalogues too large to send about. Rows are keyed by the field itself,
     so null ids need no other key. The numbers of pieces that risky names have are measured first."""
-    named = risky.select("n", F.udf(lambda n: "".join(_pieces(n)).casefold())("n").alias("run"), F.udf(lambda n: len(_pieces(n)), "int")("n").alias("w"))
+    named = risky.mapInPandas(_name_runs, "n string, run string, w int")
     widths = sorted(r.w for r in named.select("w").distinct().collect())  # bounded by the longest name
-    runs = F.udf(lambda t: _runs(t, widths), "array<string>")
-    sought = rows.select("field").distinct().select("field", F.explode(runs("field")).alias("run")).join(named.select("n", "run"), "run")
+
+    def run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            runs = [_runs(t, widths) for t in b["field"]]
+            yield pd.DataFrame({"field": b["field"].repeat([len(r) for r in runs]), "run": [x for r in runs for x in r]})
+
+    sought = rows.select("field").distinct().mapInPandas(run_rows, "field string, run string").join(named.select("n", "run"), "run")
     own = sought.groupBy("field").agg(F.collect_set("n").alias("own"))
     return rows.join(own, "field", "left")

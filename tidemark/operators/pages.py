@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import alias_pattern, exact_text
+from tidemark.functions.keys import alias_pattern, exact_text, snippet
 from tidemark.operators.shares import ratio
+from tidemark.session import written
 
 #: How far each kind of fragment is trusted.
 SCORES = {"rendered_visible_text": 1.0, "static_visible_text": 0.95, "table": 0.95, "reader_markdown": 0.94, "image_ocr": 0.92, "metadata": 0.75, "image_text": 0.65, "script_json": 0.58, "script_text": 0.52}
@@ -82,18 +83,18 @@ def html_fragments(source: str | None) -> list[tuple[str, str, str]]:
     return p.out + ([("static_visible_text", "body", html.unescape(visible))] if visible else [])
 
 
-def page_fragments(pages: DataFrame, page_id: str, source: str) -> DataFrame:
-    """(page_id, fragment, source_kind, label, text) of pages with an HTML column; a fragment repeated in its first 200 characters counts once."""
+def page_fragments(pages: DataFrame, page_id: str, source: str, compared: int | None = None) -> DataFrame:
+    """(page_id, fragment, source_kind, label, text) of pages with an HTML column; a fragment repeated on its page counts once. compared: characters by which
+    fragments are told apart, if not by all."""
     kind = dict(pages.dtypes)[page_id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, s in zip(b["p"], b["s"], strict=True):
-                seen = dict.fromkeys(((k, lab, t[:200]), (k, lab, t)) for k, lab, t in html_fragments(s))
-                firsts = {}
-                for key, value in seen:
-                    firsts.setdefault(key, value)
+                firsts: dict[tuple, tuple] = {}
+                for k, lab, t in html_fragments(s):
+                    firsts.setdefault((k, lab, t[:compared]), (k, lab, t))
                 rows += [(i, n, *v) for n, v in enumerate(firsts.values(), 1)]
             yield pd.DataFrame(rows, columns=["page_id", "fragment", "source_kind", "label", "text"])
 
@@ -104,7 +105,7 @@ def scan_aliases(fragments: DataFrame, page_id: str, kind: str, text: str, alias
     """(page_id, benchmark_id, alias, raw_match, score, snippet): the best hit of each benchmark on each page.
 
     aliases: (alias, benchmark_id), up to `limit`, counted first, in one pattern that finds the longest alias first; more are scanned for in
-    passes. Every alias that occurs is found, also inside a longer one's page. Of several hits the one from the most trusted kind of
+    passes, each of which is written before the next one's list is sent. Every alias that occurs is found, also inside a longer one's page. Of several hits the one from the most trusted kind of
     fragment wins, then the longest snippet, then the alias and text that sort first.
     """
     listed = aliases.select("alias", "benchmark_id").where("trim(alias) <> '' and benchmark_id is not null").distinct()
@@ -123,8 +124,12 @@ def scan_aliases(fragments: DataFrame, page_id: str, kind: str, text: str, alias
                 yield pd.DataFrame(rows, columns=["page_id", "benchmark_id", "alias", "raw_match", "score", "snippet"])
 
         one = src.mapInPandas(run, schema)
+        if passes > 1:
+            one = written(one, "hits")
+            shared.destroy()
         out = one if out is None else out.unionByName(one)
-    best = out.groupBy("page_id", "benchmark_id").agg(F.max_by(F.struct("alias", "raw_match", "score", "snippet"), F.struct("score", F.length("snippet"), F.xxhash64("alias", "snippet"))).alias("b"))
+    rank = F.struct(-F.col("score"), -F.length("snippet"), "alias", "raw_match", "snippet")
+    best = out.groupBy("page_id", "benchmark_id").agg(F.min_by(F.struct("alias", "raw_match", "score", "snippet"), rank).alias("b"))
     return best.select("page_id", "benchmark_id", "b.alias", "b.raw_match", "b.score", "b.snippet")
 
 
@@ -146,12 +151,15 @@ class AliasFinder:
         for w in (words | {""}) & self.by_word.keys():
             for pattern, alias, target, needed, first in self.by_word[w]:
                 if needed <= words and (m := self._first(pattern, text, low, first)):
-                    a, b = max(0, m.start() - RADIUS), min(len(text), m.end() + RADIUS)
-                    snippet = ("..." if a else "") + text[a:b].strip() + ("..." if b < len(text) else "")
-                    old = found.get(target)
-                    if old is None or (len(snippet), old[0]) > (len(old[2]), alias):
-                        found[target] = (alias, m.group(), snippet)
-        return [(t, alias, raw, score, snippet) for t, (alias, raw, snippet) in found.items()]
+                    hit = (alias, m.group(), snippet(text, *m.span(), RADIUS))
+                    if target not in found or self._rank(hit) < self._rank(found[target]):
+                        found[target] = hit
+        return [(t, alias, raw, score, around) for t, (alias, raw, around) in found.items()]
+
+    @staticmethod
+    def _rank(hit: tuple[str, str, str]) -> tuple:
+        """The longest snippet first, then the alias and text that sort first."""
+        return -len(hit[2]), hit[0], hit[1], hit[2]
 
     @staticmethod
     def _first(pattern: re.Pattern, text: str, low: str, first: str) -> re.Match | None:

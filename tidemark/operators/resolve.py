@@ -73,7 +73,7 @@ def build_resolved_mentions(releases: DataFrame, names: DataFrame, aliases: Data
         )
     else:
         good = good.withColumn("multiplicity", F.lit(1).cast("bigint"))
-    good = good.withColumn("release_weight", F.round(1.0 / F.count("*").over(w), 6)).withColumn("raw_weight", F.round(F.col("multiplicity") / F.sum("multiplicity").over(w), 6))
+    good = good.withColumn("release_weight", 1.0 / F.count("*").over(w)).withColumn("raw_weight", F.col("multiplicity") / F.sum("multiplicity").over(w))
     return good, unresolved
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vocab import ACCEPT_CONFIDENCE, SAFE_RELATIONSHIPS
+from tidemark.operators.sizes import lookup_join
 
 ITEM = "struct<raw_name:string,canonical_name:string,relationship:string,confidence:string,source_excerpt:string>"
 RESPONSE = f"struct<benchmarks:array<{ITEM}>,unknown_mentions:array<{ITEM}>>"
@@ -48,9 +49,12 @@ def review_reasons(items: DataFrame, names: DataFrame, aliases: DataFrame) -> Da
     before an alias here. Items without a reason are accepted, the others go to review."""
     n = lambda key, out: names.select(F.col("name_key").alias(key), F.col("benchmark_id").alias(out))
     a = lambda key, out: aliases.select(F.col("alias_key").alias(key), F.col("target").alias(out))
-    x = items.join(n("canonical_name", "cn"), "canonical_name", "left").join(a("canonical_name", "ca"), "canonical_name", "left").join(n("raw_name", "rn"), "raw_name", "left").join(a("raw_name", "ra"), "raw_name", "left")
+    x = items
+    for side, key in ((n("canonical_name", "cn"), "canonical_name"), (a("canonical_name", "ca"), "canonical_name"), (n("raw_name", "rn"), "raw_name"), (a("raw_name", "ra"), "raw_name")):
+        x = lookup_join(x, side, key, "left")
     target = F.coalesce("cn", "ca")
     rel = F.col("relationship")
+    # fixed values: the reasons, in the order in which they are given
     reason = (
         F.when(F.col("raw_name") == "", "missing_raw_name").when(rel == "reject_source_only", "source_only_not_a_benchmark").when(F.col("canonical_name") == "", "new_or_unmapped_benchmark")
         .when(target.isNull(), "canonical_not_in_catalog").when(F.col("confidence") < ACCEPT_CONFIDENCE, "low_confidence_mapping")

@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizes import lookup_join
+
 DIGITS = 6
 
 
-def ratio(a: Column, b: Column, digits: int = DIGITS) -> Column:
-    """a / b, rounded; null where b is 0 or null."""
-    return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
+def ratio(a: Column, b: Column, digits: int | None = DIGITS) -> Column:
+    """a / b, rounded for a result; null where b is 0 or null. digits: None leaves it as it is, for further steps."""
+    made = F.try_divide(a.cast("double"), b.cast("double"))
+    return made if digits is None else F.round(made, digits)
 
 
 def ratio_or_zero(a: Column, b: Column, digits: int = DIGITS) -> Column:
@@ -46,9 +49,17 @@ def share_of(df: DataFrame, keys: Sequence[str], within: Sequence[str], value: s
 
 def facet_weights(units: DataFrame, facets: DataFrame, axis: str, weight: str = "release_weight") -> DataFrame:
     """units joined to their labels on one axis, the weight split evenly over the distinct labels of a benchmark."""
-    labels = facets.where(F.col("facet_axis") == axis).select("benchmark_id", "facet_label").distinct()
-    labels = labels.withColumn("n_labels", F.count("*").over(Window.partitionBy("benchmark_id")))
-    return units.join(labels, "benchmark_id").withColumn("label_weight", F.col(weight) / F.col("n_labels"))
+    return all_facet_weights(units, facets, (axis,), weight).drop("facet_axis")
+
+
+def all_facet_weights(units: DataFrame, facets: DataFrame, axes: Sequence[str], weight: str = "release_weight") -> DataFrame:
+    """units joined to their labels on each of the axes (facet_axis, facet_label), the weight of a unit split evenly over the distinct labels that its benchmark has on the axis
+    (n_labels, label_weight). The labels of a benchmark go as one row, so a hot benchmark's units are not gathered."""
+    labels = facets.where(F.col("facet_axis").isin(*axes)).groupBy("benchmark_id", "facet_axis").agg(F.collect_set("facet_label").alias("labels"))
+    side = labels.groupBy("benchmark_id").agg(F.collect_list(F.struct("facet_axis", "labels")).alias("_axes"))
+    x = lookup_join(units, side, "benchmark_id").select("*", F.inline("_axes")).drop("_axes")
+    x = x.withColumn("n_labels", F.size("labels").cast("bigint")).withColumn("label_weight", F.col(weight) / F.col("n_labels"))
+    return x.select("*", F.explode("labels").alias("facet_label")).drop("labels")
 
 
 def top_labels(df: DataFrame, label: str, weight: str, k: int, least_share: float | None = None) -> DataFrame:

@@ -46,13 +46,15 @@ def heavy_keys(df: DataFrame, key: str, share: float, bins: int = 4096, level: s
     return rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("total", F.lit(total).cast("bigint")).where(F.col("n") >= s * F.col("total"))
 
 
-def lookup_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS, share: float = 0.001) -> DataFrame:
+def lookup_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS, share: float = 0.001, check: bool = False) -> DataFrame:
     """rows joined to `side`, which has one row per key; how: inner or left.
 
     Up to `limit` rows, counted first, `side` is broadcast. Beyond it, the keys that hold at least `share` of the
     rows (at most 1/share keys) get their part of `side` broadcast, and only the rest, in which no key is
-    large, is shuffled by key; so no task gets the rows of a hot key. Null keys match nothing.
+    large, is shuffled by key; so no task gets the rows of a hot key. Null keys match nothing. check: raises where `side` has a key twice, instead of trusting it.
     """
+    if check and (twice := side.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").first()) is not None:
+        raise ValueError(f"{key} {twice[0]!r} stands {twice.n} times in a table that should have it once")
     if at_most(side, limit):
         return rows.join(F.broadcast(side), key, how)
     hot = [r.key for r in heavy_keys(rows, key, share).select("key").collect()]

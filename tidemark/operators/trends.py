@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator, Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,26 +41,52 @@ def moving_ratio(rows: DataFrame, day: str, value: str, cutoff, window_days: int
     return out.select("day", F.coalesce(F.last("m", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("average"))
 
 
+class _Lanes:
+    """Deals out the lanes of one group to entries that come in order of time: lanes that are free lie in one heap by number, the others in one by when they are free."""
+
+    def __init__(self):
+        self.free: list[int] = []
+        self.taken: list[tuple[float, int]] = []
+
+    def next(self, begin: float, end: float) -> int:
+        while self.taken and self.taken[0][0] <= begin:
+            heapq.heappush(self.free, heapq.heappop(self.taken)[1])
+        lane = heapq.heappop(self.free) if self.free else len(self.taken)
+        heapq.heappush(self.taken, (end, lane))
+        return lane
+
+
 def lanes(rows: DataFrame, group: str, day: str, name: str, width: float) -> DataFrame:
-    """rows (group, day, name) with the lane of each: in order of day and name, the first lane of its group that is free again
-    after the footprint of `width` days around the last entry. An ordered fold, so it takes one task a group; the
-    rows are the labels of one chart."""
+    """rows (group, day, name) with the lane of each: in order of day and name, the lane of the least number in its group that is free again
+    after the footprint of `width` days around the last entry. Each group is an ordered stream through one task, which keeps only the lanes in use."""
     if width <= 0:
         raise ValueError("width must be positive")
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["day", "name"], kind="stable")
-        free: list[float] = []
-        out = []
-        for x in pd.to_datetime(frame["day"]).astype("datetime64[s]").astype("int64") / 86400:
-            lane = next((i for i, end in enumerate(free) if x - width / 2 >= end), len(free))
-            free[lane : lane + 1] = [x + width / 2]
-            out.append(lane)
-        return frame.assign(lane=out)
-
-    src = rows.select(F.col(group).alias("grp"), F.col(day).alias("day"), F.col(name).alias("name"))
+    src = rows.select(F.col(group).alias("grp"), F.col(day).alias("day"), F.col(name).alias("name"), F.unix_date(F.col(day).cast("date")).cast("double").alias("at"))
     t = dict(src.dtypes)
-    done = src.groupBy("grp").applyInPandas(fold, f"grp {t['grp']}, day {t['day']}, name {t['name']}, lane bigint")
+    ordered = src.repartition("grp").sortWithinPartitions("grp", "at", "name")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, open_lanes = object(), _Lanes()
+        for b in batches:
+            out = []
+            for g, x in zip(b["grp"], b["at"], strict=True):
+                if g != now:
+                    now, open_lanes = g, _Lanes()
+                out.append(open_lanes.next(x - width / 2, x + width / 2))
+            yield b[["grp", "day", "name"]].assign(lane=out)
+
+    done = ordered.mapInPandas(deal, f"grp {t['grp']}, day {t['day']}, name {t['name']}, lane bigint")
     return done.select(F.col("grp").alias(group), F.col("day").alias(day), F.col("name").alias(name), "lane")
 
 
+def isolated_days(shares: DataFrame, day: str, share: str, by: Sequence[str] = ()) -> DataFrame:
+    """shares with `isolated`: whether a day has a share and neither the day before nor the day after has one, so that a line would not show it. by: columns of a series."""
+    w = Window.partitionBy(*by).orderBy(day) if by else Window.orderBy(day)  # one row a calendar day
+    beside = lambda c: c.isNull()
+    return shares.withColumn("isolated", F.col(share).isNotNull() & beside(F.lag(share).over(w)) & beside(F.lead(share).over(w)))
+
+
+def stacked(rows: DataFrame, by: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """rows with `low` and `high`, where each stands when the values of one group are stacked in this order."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("high", F.sum(value).over(w)).withColumn("low", F.col("high") - F.col(value))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import launches
 from tidemark.operators.shares import dedup_mentions, joined, ratio
 from tidemark.plans import base
-from tidemark.plans.base import CUTOFF, LAUNCHES, LIFE, VIEWS
+from tidemark.plans.base import CUT, LAUNCHES, LIFE, VIEWS
 
 #: Labels of interaction_pattern that count as acting on something.
 POSITIVE = ("environment", "tool_use")
@@ -16,11 +16,13 @@ HORIZONS = (30, 90, 180)
 VARIANTS = ("all_active", "confidence_ge_0_7", "accepted")
 
 
+@base.scoped
 def provider_year_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Mentions per provider and year."""
     return base.mentions(spark, d).groupBy("provider", "release_year").agg(F.count("*").alias("mentions"))
 
 
+@base.scoped
 def top_benchmarks(spark: SparkSession, d: str) -> DataFrame:
     """R2: per benchmark its mentions, providers, first and last date, and author."""
     agg = base.mentions(spark, d).groupBy("benchmark_id", "provider").agg(F.count("*").alias("n"), F.min("release_date").alias("a"), F.max("release_date").alias("b"))
@@ -28,6 +30,7 @@ def top_benchmarks(spark: SparkSession, d: str) -> DataFrame:
     return agg.join(base.catalogue(spark, d).select("benchmark_id", "benchmark_name", "source_author"), "benchmark_id")
 
 
+@base.scoped
 def provider_year_task_mix(spark: SparkSession, d: str) -> DataFrame:
     """Mentions by task mode, and their share in the provider's year."""
     m = base.mentions(spark, d).groupBy("benchmark_id", "provider", "release_year").agg(F.count("*").alias("mentions")).join(base.catalogue(spark, d), "benchmark_id", "left")
@@ -35,6 +38,7 @@ def provider_year_task_mix(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("share", ratio(F.col("mentions"), F.sum("mentions").over(Window.partitionBy("provider", "release_year"))))
 
 
+@base.scoped
 def facet_review_debt(spark: SparkSession, d: str) -> DataFrame:
     """Per axis its rows by status, and the shares below 0.7 and in review."""
     f = base.facets(spark, d, active=False)
@@ -43,27 +47,32 @@ def facet_review_debt(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("low_confidence_share", ratio(F.col("low_confidence"), F.col("facet_rows"))).withColumn("review_share", ratio(F.col("needs_review") + F.col("disputed"), F.col("facet_rows")))
 
 
+@base.scoped
 def launch_events(spark: SparkSession, d: str) -> DataFrame:
     """Announcements."""
     return launches.launch_events(base.releases(spark, d), base.mentions(spark, d))
 
 
+@base.scoped
 def launch_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Announcements by benchmark."""
     return launches.launch_mentions(base.releases(spark, d), base.mentions(spark, d))
 
 
+@base.scoped
 def provider_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """R8, the adopters: pairs without a mention follow from the catalogue and the list of providers and hold only zeros."""
-    return launches.provider_lifecycles(launch_events(spark, d), launch_mentions(spark, d), CUTOFF)
+    return launches.provider_lifecycles(launch_events(spark, d), launch_mentions(spark, d), base.cutoff(spark, d))
 
 
+@base.scoped
 def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Every catalogue entry through its announcements."""
     ev, lm = launch_events(spark, d), launch_mentions(spark, d)
-    return launches.lifecycles(base.catalogue(spark, d), launches.provider_lifecycles(ev, lm, CUTOFF), ev, lm, CUTOFF)
+    return launches.lifecycles(base.catalogue(spark, d), launches.provider_lifecycles(ev, lm, base.cutoff(spark, d)), ev, lm, base.cutoff(spark, d))
 
 
+@base.scoped
 def coverage_by_provider(spark: SparkSession, d: str) -> DataFrame:
     """Inventory of each provider."""
     ev = launch_events(spark, d).groupBy("provider").agg(F.sum("model_row_count").alias("model_rows"), F.count("*").alias("launch_events"), F.count_if("has_benchmark_mentions").alias("benchmark_bearing_launches"), F.min("release_date").alias("first_release"), F.max("release_date").alias("last_release"))
@@ -71,6 +80,7 @@ def coverage_by_provider(spark: SparkSession, d: str) -> DataFrame:
     return ev.join(ids, "provider", "left").withColumn("observed_benchmarks", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
 
 
+@base.scoped
 def annual_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Inventory of each year, with benchmarks first seen in it."""
     year = lambda c: F.year(c).cast("bigint").alias("release_year")
@@ -86,6 +96,7 @@ def _weighted(lm: DataFrame) -> DataFrame:
     return lm.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("launch_id")))
 
 
+@base.scoped
 def sharing_summary(spark: SparkSession, d: str) -> DataFrame:
     """Benchmarks, mentions and equal-announcement weight by the number of providers that share a benchmark; every number from 1 to all."""
     lm = _weighted(launch_mentions(spark, d))
@@ -101,9 +112,10 @@ def sharing_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@base.scoped
 def diffusion_horizons(spark: SparkSession, d: str) -> DataFrame:
     """Of the benchmarks that could be followed for a horizon, those that reached a second provider within it."""
-    end = base.releases(spark, d).agg(F.least(F.max("release_date"), F.lit(CUTOFF)).alias("end"))
+    end = base.releases(spark, d).agg(F.least(F.max("release_date"), F.lit(base.cutoff(spark, d))).alias("end"))
     life = lifecycle(spark, d).where("launch_count > 0").crossJoin(F.broadcast(end))  # one row
     rows = life.select("first_seen", "second_provider_lag_days", "end", F.explode(F.array(*map(F.lit, HORIZONS))).alias("h"))
     ok = F.col("first_seen") <= F.date_sub("end", F.col("h"))
@@ -111,6 +123,7 @@ def diffusion_horizons(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("diffusion_share", ratio(F.col("diffused_benchmarks"), F.col("eligible_benchmarks")))
 
 
+@base.scoped
 def interaction_classification(spark: SparkSession, d: str) -> DataFrame:
     """Each catalogue entry by three readings of its interaction labels; positive is null where there is no label."""
     f = base.facets(spark, d).where("facet_axis = 'interaction_pattern'")
@@ -139,16 +152,19 @@ def _trends(spark: SparkSession, d: str, by_provider: bool) -> DataFrame:
     return out.select("unit", "release_year", *by, "variant", F.col("n").alias("benchmark_bearing_units"), ratio(F.col("p"), F.col("n")).alias("positive_share"), ratio(F.col("c"), F.col("n")).alias("coverage_share"), ratio(F.col("p"), F.round("c", 9)).alias("positive_share_among_covered"))
 
 
+@base.scoped
 def interaction_trends(spark: SparkSession, d: str) -> DataFrame:
     """Shares of acting benchmarks by year, for announcements and releases as units."""
     return _trends(spark, d, False)
 
 
+@base.scoped
 def provider_interaction_trends(spark: SparkSession, d: str) -> DataFrame:
     """The same by provider."""
     return _trends(spark, d, True)
 
 
+@base.scoped
 def overview_summary(spark: SparkSession, d: str) -> DataFrame:
     """The scalars of the overview."""
     life, lm, ev = lifecycle(spark, d), launch_mentions(spark, d), launch_events(spark, d)
@@ -196,7 +212,7 @@ SQL = {
     "coverage_by_provider": LAUNCHES + "select ev.provider, sum(model_row_count)::bigint model_rows, count(*) launch_events, count_if(has_benchmark_mentions) benchmark_bearing_launches, min(release_date) first_release, max(release_date) last_release, coalesce(any_value(n), 0) observed_benchmarks from ev left join (select provider, count(distinct benchmark_id) n from lm group by 1) x on x.provider = ev.provider group by 1",
     "annual_inventory": LAUNCHES + "select release_year, model_rows, launch_events, benchmark_bearing_launches, coalesce(launch_mentions, 0) launch_mentions, coalesce(new_identities, 0) new_identities from (select year(release_date) release_year, sum(model_row_count)::bigint model_rows, count(*) launch_events, count_if(has_benchmark_mentions) benchmark_bearing_launches from ev group by 1) left join (select year(release_date) release_year, count(*) launch_mentions from lm group by 1) using (release_year) left join (select year(f) release_year, count(*) new_identities from (select min(release_date) f from lm group by benchmark_id) group by 1) using (release_year)",
     "sharing_summary": LAUNCHES + ", lw as (select *, 1.0::double / count(*) over (partition by launch_id) weight from lm), b as (select benchmark_id, count(distinct provider) provider_count, count(*) n, sum(weight) w from lw group by 1) select s.provider_count, count(b.benchmark_id) benchmark_count, round(count(b.benchmark_id)::double / (select count(*) from b), 6) benchmark_share, coalesce(sum(n), 0)::bigint launch_mentions, round(coalesce(sum(n), 0)::double / (select sum(n) from b), 6) mention_share, round(coalesce(sum(w), 0), 6) announcement_weight, round(coalesce(sum(w), 0) / (select sum(w) from b), 6) announcement_weight_share from (select unnest(generate_series(1, (select count(distinct provider) from rel))) provider_count) s left join b using (provider_count) group by 1",
-    "diffusion_horizons": LIFE + f"select h.h::bigint horizon_days, count_if(first_seen <= e.e - h.h::int) eligible_benchmarks, count_if(first_seen <= e.e - h.h::int and second_provider_lag_days <= h.h) diffused_benchmarks, round(count_if(first_seen <= e.e - h.h::int and second_provider_lag_days <= h.h)::double / nullif(count_if(first_seen <= e.e - h.h::int), 0), 6) diffusion_share from lc cross join (select unnest([30, 90, 180]) h) h cross join (select least(max(release_date), date '{CUTOFF}') e from rel) e where launch_count > 0 group by 1",
+    "diffusion_horizons": LIFE + f"select h.h::bigint horizon_days, count_if(first_seen <= e.e - h.h::int) eligible_benchmarks, count_if(first_seen <= e.e - h.h::int and second_provider_lag_days <= h.h) diffused_benchmarks, round(count_if(first_seen <= e.e - h.h::int and second_provider_lag_days <= h.h)::double / nullif(count_if(first_seen <= e.e - h.h::int), 0), 6) diffusion_share from lc cross join (select unnest([30, 90, 180]) h) h cross join (select least(max(release_date), {CUT}) e from rel) e where launch_count > 0 group by 1",
     "interaction_classification": VIEWS + _CLS + "select * from cls",
     "interaction_trends": _trend_sql(""),
     "provider_interaction_trends": _trend_sql(", provider"),

@@ -20,6 +20,7 @@ OWNER, ADOPTERS = "hexamere ai", ("norvane labs", "quillon")
 UNSAID = ("", "unknown", "needs_review", "none")
 
 
+@base.scoped
 def provenance(spark: SparkSession, d: str) -> DataFrame:
     """Per catalogue entry: the labs among its authors' affiliations (sorted), whether these are unknown, the labs that the author text
     names, and the author text's parts."""
@@ -65,16 +66,19 @@ def _shares(df: DataFrame, keys: list[str], column: str, values: tuple[str, ...]
     return out.select("*", *[ratio_or_zero(F.col(f"{v}_mentions"), F.col("total_mentions")).alias(f"{v}_share") for v in values])
 
 
+@base.scoped
 def author_period_shares(spark: SparkSession, d: str) -> DataFrame:
     """Author positions by provider and period."""
     return _shares(_enriched(spark, d), ["provider", "period"], "position", POSITIONS)
 
 
+@base.scoped
 def author_year_shares(spark: SparkSession, d: str) -> DataFrame:
     """Author positions by provider and year."""
     return _shares(_enriched(spark, d), ["provider", "release_year"], "position", POSITIONS)
 
 
+@base.scoped
 def adoption_comparison(spark: SparkSession, d: str) -> DataFrame:
     """How much two providers, and both together, mention benchmarks of a lab."""
     e = _enriched(spark, d).where(F.col("provider").isin(*ADOPTERS))
@@ -85,6 +89,7 @@ def adoption_comparison(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("either_share", ratio_or_zero(F.col("either_mentions"), F.col("total_mentions")))
 
 
+@base.scoped
 def cross_lab_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Mentions and benchmarks by provider, period and lab; a mention counts with each of its labs."""
     target = F.when(F.size("labs") > 0, F.col("labs")).when(F.coalesce("unknown", F.lit(True)), F.array(F.lit("Unknown affiliation"))).otherwise(F.array(F.lit("Neutral/no frontier lab")))
@@ -97,6 +102,7 @@ def _firsts(spark: SparkSession, d: str) -> DataFrame:
     return base.mentions(spark, d).groupBy("benchmark_id", "provider").agg(F.min(F.struct("release_date", "model_name", "mention_index", "raw_mention")).alias("f"), F.count("*").alias("n"), F.max("release_date").alias("last")).select("benchmark_id", "provider", "f.release_date", "f.model_name", "f.raw_mention", "n", "last")
 
 
+@base.scoped
 def first_adoption_lags(spark: SparkSession, d: str) -> DataFrame:
     """Days from the first mention by an owning lab to the first by another provider; negative if that came earlier."""
     f = _firsts(spark, d).join(provenance(spark, d).where(F.size("labs") > 0), "benchmark_id")
@@ -112,6 +118,7 @@ def first_adoption_lags(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@base.scoped
 def high_signal(spark: SparkSession, d: str) -> DataFrame:
     """Benchmarks by how much their spread says, with the reason."""
     f = _firsts(spark, d).groupBy("benchmark_id").agg(F.sum("n").alias("mention_count"), F.count("*").alias("provider_count"), joined("provider").alias("providers_mentioning"), F.min(F.struct("release_date", "provider")).alias("a"))
@@ -125,6 +132,7 @@ def high_signal(spark: SparkSession, d: str) -> DataFrame:
     return g.select("benchmark_id", "mention_count", "provider_count", "providers_mentioning", F.col("a.provider").alias("first_seen_provider"), F.col("a.release_date").alias("first_seen_date"), reason.alias("high_signal_reason"))
 
 
+@base.scoped
 def cascade_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Reach, path and pace of each benchmark; the second provider is the first that did not tie with the first day."""
     f = _firsts(spark, d)
@@ -150,12 +158,14 @@ def cascade_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@base.scoped
 def fastest_cascades(spark: SparkSession, d: str) -> DataFrame:
     """The ten benchmarks that reached a second provider fastest."""
     c = cascade_metrics(spark, d).where("days_to_second_provider is not null")
     return c.select("benchmark_id", "first_date", "second_provider", "days_to_second_provider", "provider_count").orderBy("days_to_second_provider", F.desc("provider_count"), "benchmark_id").limit(10)
 
 
+@base.scoped
 def adoption_events(spark: SparkSession, d: str) -> DataFrame:
     """The first mention of each benchmark by each provider, in order of adoption."""
     f = _firsts(spark, d)
@@ -164,6 +174,7 @@ def adoption_events(spark: SparkSession, d: str) -> DataFrame:
     return f.select("benchmark_id", "provider", F.col("release_date").alias("provider_first_date"), F.col("model_name").alias("provider_first_model"), "adoption_order", F.datediff("release_date", "start").cast("bigint").alias("lag_days_since_benchmark_first"), (F.col("release_date") == F.col("start")).alias("is_first_provider"))
 
 
+@base.scoped
 def diffusion_roles(spark: SparkSession, d: str) -> DataFrame:
     """What each provider mentions first, passes on and takes over."""
     e = adoption_events(spark, d)
@@ -178,6 +189,7 @@ def diffusion_roles(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("net_export_balance", F.col("exported_benchmarks_later_adopted") - F.col("imported_benchmarks")).withColumn("first_mover_share_of_portfolio", ratio_or_zero(F.col("first_mover_benchmarks"), F.col("unique_benchmarks_mentioned")))
 
 
+@base.scoped
 def release_strategy(spark: SparkSession, d: str) -> DataFrame:
     """Of each release's benchmarks, how many are new, repeated, or used before by others. First dates replace any look into the past."""
     f = _firsts(spark, d).select("benchmark_id", "provider", F.col("release_date").alias("p"))
@@ -194,6 +206,7 @@ def release_strategy(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model_row_id", "provider", "release_date", F.col("t").alias("total_unique_benchmarks"), *[F.col(c).alias(f"{c}_benchmarks") for c in names], *[ratio_or_zero(F.col(c), F.col("t")).alias(f"{c}_share") for c in names])
 
 
+@base.scoped
 def similarity_timeseries(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of all providers' portfolios so far, at each release date. First dates turn into running counts; nothing is compared set by set."""
     f = _firsts(spark, d).select("benchmark_id", "provider", F.col("release_date").alias("day"))
@@ -212,6 +225,7 @@ def similarity_timeseries(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("day").alias("snapshot_date"), "left_provider", "right_provider", "left_portfolio_size", "right_portfolio_size", "intersection_size", "union_size", ratio_or_zero(F.col("intersection_size"), F.col("union_size")).alias("jaccard_similarity"))
 
 
+@base.scoped
 def similarity_latest(spark: SparkSession, d: str) -> DataFrame:
     """The similarities at the last release date."""
     t = similarity_timeseries(spark, d)
@@ -219,17 +233,20 @@ def similarity_latest(spark: SparkSession, d: str) -> DataFrame:
     return t.join(F.broadcast(last), "snapshot_date")  # one row
 
 
+@base.scoped
 def source_author_dependency(spark: SparkSession, d: str) -> DataFrame:
     """Whose benchmarks each provider mentions."""
     return _shares(_enriched(spark, d), ["provider"], "source_group", GROUPS)
 
 
+@base.scoped
 def release_source_mix(spark: SparkSession, d: str) -> DataFrame:
     """Whose benchmarks each release mentions; releases without mentions have zeros."""
     mix = _shares(_enriched(spark, d), ["model_row_id"], "source_group", GROUPS)
     return base.releases(spark, d).select("model_row_id", "provider", "release_date").join(mix, "model_row_id", "left").na.fill(0)
 
 
+@base.scoped
 def borrowed_authority(spark: SparkSession, d: str) -> DataFrame:
     """Share of mentions, raw and with equal weight per release, whose benchmark has another lab's authors and none of the provider's own."""
     e = _enriched(spark, d).withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("model_row_id")))

@@ -33,6 +33,7 @@ FACET_LABELS = {
 }
 
 
+@base.scoped
 def names_and_aliases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(name_key, benchmark_id) of both catalogues and (alias_key, target, match_type), one row per key."""
     both = load(spark, d, "benchmarks").select(norm_id("benchmark_id").alias("benchmark_id"), "benchmark_name").unionByName(load(spark, d, "community_benchmarks").select(norm_id("benchmark_id").alias("benchmark_id"), "benchmark_name"))
@@ -41,26 +42,35 @@ def names_and_aliases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     return names, al.select("alias_key", "m.target", "m.match_type")
 
 
+def _rounded(mentions: DataFrame) -> DataFrame:
+    return mentions.withColumn("release_weight", F.round("release_weight", 6)).withColumn("raw_weight", F.round("raw_weight", 6))
+
+
+@base.scoped
 def resolved_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Every element of the comma lists that resolves, with weights; unresolved ones are collected apart."""
-    return build_resolved_mentions(base.releases(spark, d), *names_and_aliases(spark, d), policy="collect")[0]
+    return _rounded(build_resolved_mentions(base.releases(spark, d), *names_and_aliases(spark, d), policy="collect")[0])
 
 
+@base.scoped
 def unresolved_mentions(spark: SparkSession, d: str) -> DataFrame:
     """K7: the elements that do not resolve."""
     return build_resolved_mentions(base.releases(spark, d), *names_and_aliases(spark, d), policy="collect")[1]
 
 
+@base.scoped
 def resolved_dedup(spark: SparkSession, d: str) -> DataFrame:
     """One row per release and benchmark."""
-    return build_resolved_mentions(base.releases(spark, d), *names_and_aliases(spark, d), deduplicate=True, policy="collect")[0]
+    return _rounded(build_resolved_mentions(base.releases(spark, d), *names_and_aliases(spark, d), deduplicate=True, policy="collect")[0])
 
 
+@base.scoped
 def resolved_drop_release(spark: SparkSession, d: str) -> DataFrame:
     """Only releases of which every element resolves."""
-    return build_resolved_mentions(base.releases(spark, d), *names_and_aliases(spark, d), policy="drop_release")[0]
+    return _rounded(build_resolved_mentions(base.releases(spark, d), *names_and_aliases(spark, d), policy="drop_release")[0])
 
 
+@base.scoped
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
     """The keys of every catalogue name."""
     c = base.catalogue(spark, d)
@@ -68,16 +78,19 @@ def name_keys(spark: SparkSession, d: str) -> DataFrame:
     return c.select("benchmark_id", exact_key("benchmark_name").alias("exact_key"), identity_key("benchmark_name").alias("identity_key"), benchmark_id(n).alias("made_id"), edit_name(n).alias("edit_name"), F.array_join(name_tokens(n), " ").alias("tokens"), stable_id("facet", n, F.col("review_status")).alias("stable_id"))
 
 
+@base.scoped
 def source_urls(spark: SparkSession, d: str) -> DataFrame:
     """Every release's address as a key."""
     return base.releases(spark, d).select("model_row_id", "link", normalize_url("link").alias("source_url"))
 
 
+@base.scoped
 def near_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
     """V8: catalogue names that look like one entity."""
     return near(base.catalogue(spark, d).select(F.col("benchmark_id").alias("id"), F.col("benchmark_name").alias("name")))
 
 
+@base.scoped
 def page_mentions(spark: SparkSession, d: str) -> DataFrame:
     """The benchmarks named in every document, by name or alias, with the place of the best hit."""
     names = base.catalogue(spark, d).select(F.col("benchmark_name").alias("alias"), "benchmark_id")
@@ -85,18 +98,21 @@ def page_mentions(spark: SparkSession, d: str) -> DataFrame:
     return scan_aliases(load(spark, d, "documents"), "doc_id", "source_kind", "text", names.unionByName(al.select("alias", "benchmark_id")))
 
 
+@base.scoped
 def resolution_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Per release, how the exact resolution of its list compares with the mentions on record."""
     gold, found = base.mentions(spark, d), resolved_mentions(spark, d)
     return accuracy(gold, found, "model_row_id", "benchmark_id").withColumnRenamed("page", "model_row_id")
 
 
+@base.scoped
 def resolution_accuracy_micro(spark: SparkSession, d: str) -> DataFrame:
     """Recall and precision summed over all releases."""
     s = resolution_accuracy(spark, d).agg(F.sum("gold").alias("gold"), F.sum("predicted").alias("predicted"), F.sum("true_positive").alias("true_positive"))
     return s.select("*", F.coalesce(F.round(F.try_divide("true_positive", "gold"), 6), F.lit(1.0)).alias("recall"), F.coalesce(F.round(F.try_divide("true_positive", "predicted"), 6), F.lit(0.0)).alias("precision"))
 
 
+@base.scoped
 def violations(spark: SparkSession, d: str) -> DataFrame:
     """V3, V4, V6, V9, V10, V12, V14 and parts of V5, V7, V11: (rule, severity, key) of what breaks these rules, as one table; a key that breaks a rule
     several times stands once. all_violations has the other rules too."""
@@ -135,6 +151,7 @@ def violations(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@base.scoped
 def all_violations(spark: SparkSession, d: str, reviewed: DataFrame | None = None) -> DataFrame:
     """Violations and the rules that it leaves out: closed vocabularies, unused aliases and names, near duplicates, several or
     underivable headlines, release dates, missing confidences and names equal but for case and form.
