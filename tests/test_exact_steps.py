@@ -73,7 +73,7 @@ def test_alias_hits_in_any_number_of_passes(spark, folder):
 def test_alias_pattern():
     import re
 
-    for alias, text, hit in (("GPQA", "the GPQA set", True), ("GPQA", "the gpqa set", False), ("Foo Bar", "foo \n bar", True), ("Foo-Bar", "foo – bar", True), ("Foo Bar", "foo-bar", False), ("C++", "in C++.", True), ("abc", "xabc", False), ("abc", "abc1", False), ("Arc", "ARC", True), ("", "x", True)):
+    for alias, text, hit in (("GPQA", "the GPQA set", True), ("GPQA", "the gpqa set", False), ("Foo Bar", "foo \n bar", True), ("Foo-Bar", "foo – bar", True), ("Foo Bar", "foo-bar", False), ("C++", "in C++.", True), ("abc", "xabc", False), ("abc", "abc1", False), ("Arc", "ARC", True)):
         assert bool(re.search(alias_pattern(alias), text)) is hit, alias
     assert not re.search(alias_pattern("Swing", cased=("Swing",)), "a swing")
     assert snippet("abcdefghij", 4, 5, 2) == "...cdefg..." and snippet("abc", 0, 3, 5) == "abc"
