@@ -94,11 +94,11 @@ def test_pair_budget():
     rng = np.random.default_rng(1)
     rows = [sorted(rng.choice(500, rng.integers(2, 90), replace=False).tolist()) for _ in range(400)]
     b = pd.DataFrame({"left": rows, "right": [[] for _ in rows], "same": True, "sign": 1})
-    b.loc[3, "same"], b.at[3, "right"] = False, [1001, 1002]
+    b.loc[3, "same"], b.at[3, "right"], b.at[4, "right"] = False, [1001, 1002], [1003]
     parts = list(_pairs(iter([b]), budget=20_000))
     assert len(parts) > 10 and all(len(p) <= 20_000 + 90 * 89 // 2 for p in parts)
     got = pd.concat(parts).groupby(["a", "b"])["n"].sum().to_dict()
-    want = Counter(p for i, r in enumerate(rows) if i != 3 for p in combinations(r, 2)) + Counter((x, y) for x in rows[3] for y in (1001, 1002))
+    want = Counter(p for i, r in enumerate(rows) if i != 3 for p in combinations(r, 2)) + Counter((x, y) for x in rows[3] for y in (1001, 1002)) + Counter((x, 1003) for x in rows[4])
     assert got == want
 
 
@@ -126,3 +126,15 @@ def test_loads(spark, loads):
     last = apply_in_loads(table, spark.createDataFrame(rows, "basket string, item string, at timestamp"), loads)
     _check(table, now)
     assert table.state["version"] == loads and last.count() > 0
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_items_with_others(spark, block):
+    """Pairs within the items and of items with others, whole or in blocks, and none within the others."""
+    from tidemark.llm.cooccur import pair_rows
+
+    sets = spark.createDataFrame([(list(range(9)), list(range(20, 31)), 1), ([1, 2], [3], -1), ([5], [], 1), ([], [1, 2], 1)], "items array<bigint>, others array<bigint>, sign bigint")
+    got = {(r.a, r.b): r.n for r in pair_rows(sets, block).groupBy("a", "b").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    want = Counter([*combinations(range(9), 2), *((x, y) for x in range(9) for y in range(20, 31))])
+    want.subtract([(1, 2), (1, 3), (2, 3)])
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}

@@ -1,7 +1,7 @@
 """Items that appear together: an incremental table of pair counts.
 
 State lives in a shared folder: the set of items of every basket, the count of every pair that occurs together, and
-the number of baskets of every item. A change replaces the content of some baskets. The pairs of their old and new sets go out as signed deltas, and so do
+the number of baskets of every item. A change replaces the content of some baskets. The pairs that this adds and takes go out as signed deltas, and so do
 the numbers of baskets of their items. Deltas are summed within each task, meet in hash buckets and are written beside the
 counts that are there, bucket by bucket; what a bucket holds is the sum of its layers, and a bucket with more than LAYERS of them is merged into one. So a
 change writes as much as it alters, however large the table is. Scores are computed from the counts, for all pairs or for those that a
@@ -47,42 +47,46 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFr
 
 
 def _pairs(batches: Iterator[pd.DataFrame], budget: int = PAIR_BUDGET) -> Iterator[pd.DataFrame]:
-    """Signed pairs of the batches (left, right, same, sign), summed whenever about `budget` of them are held."""
+    """Signed pairs of the batches (left, right, same, sign), those within left where `same` and those of left with right, summed whenever about `budget` of them are held."""
     for b in batches:
         lefts, rights, same, sign = b["left"].tolist(), b["right"].tolist(), b["same"].to_numpy(bool), b["sign"].to_numpy(np.int64)
-        size = np.array([len(x) for x in lefts], np.int64)
-        pairs = np.where(same, size * (size - 1) // 2, size * np.array([len(x) for x in rights], np.int64))
-        # rows of one kind and size lie together, so that they are paired as one array
-        order = np.lexsort((size, same))
+        size, across = np.array([len(x) for x in lefts], np.int64), np.array([len(x) for x in rights], np.int64)
+        pairs = np.where(same, size * (size - 1) // 2, 0) + size * across
+        # rows of one size lie together, so that they are paired as one array
+        order = np.lexsort((across, size))
         order = order[pairs[order] > 0]
         turn = (np.cumsum(pairs[order]) - pairs[order]) // budget
         for part in np.split(order, np.nonzero(np.diff(turn))[0] + 1) if len(order) else ():
             parts = []
-            for k in np.unique(size[part[same[part]]]):
-                at = part[same[part] & (size[part] == k)]
+            for k, m in np.unique(np.stack([size[part], across[part]], 1), axis=0):
+                at = part[(size[part] == k) & (across[part] == m)]
                 grid = np.array([lefts[i] for i in at], np.int64)
+                if m:
+                    other = np.array([rights[i] for i in at], np.int64)
+                    parts.append((np.repeat(grid, m, 1).ravel(), np.tile(other, (1, k)).ravel(), np.repeat(sign[at], k * m)))
+                grid, at = grid[same[at]], at[same[at]]
                 i, j = np.triu_indices(k, 1)
                 parts.append((grid[:, i].ravel(), grid[:, j].ravel(), np.repeat(sign[at], len(i))))
-            for i in part[~same[part]]:
-                x, y = np.asarray(lefts[i], np.int64), np.asarray(rights[i], np.int64)
-                parts.append((np.repeat(x, len(y)), np.tile(y, len(x)), np.full(len(x) * len(y), sign[i])))
             yield _summed(parts)
 
 
 def pair_rows(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, n), summed within tasks only, of sets (items array<bigint>, sign). Sets of more than `block` items are cut into blocks and pairs of
-    blocks spread over the tasks, so that no task makes all pairs of a huge basket."""
-    small = sets.where(F.size("items").between(2, block)).select(F.col("items").alias("left"), F.expr("cast(array() as array<bigint>)").alias("right"), F.lit(True).alias("same"), "sign")
-    cut = F.transform(F.sequence(F.lit(1), F.size("items"), F.lit(block)), lambda i: F.slice("items", i, block))
-    large = sets.where(F.size("items") > block).select(cut.alias("blocks"), "sign")
-    large = large.select("blocks", "sign", F.posexplode("blocks").alias("i", "left")).select("sign", "i", "left", F.posexplode("blocks").alias("j", "right")).where("i <= j")
-    large = large.select("left", "right", (F.col("i") == F.col("j")).alias("same"), "sign").repartition("left", "right")
-    return small.unionByName(large).mapInPandas(_pairs, _PAIRS)
+    """(a, b, n), summed within tasks only: the pairs within items and those of items with others, of sets (items, others array<bigint>, sign). Larger sets are cut into
+    blocks of `block` items and pairs of blocks spread over the tasks, so that no task makes all pairs of a huge basket."""
+    fits = F.size("items") + F.size("others") <= block
+    some = sets.where(F.size("items") > 0)
+    small = some.where(fits).select(F.col("items").alias("left"), F.col("others").alias("right"), F.lit(True).alias("same"), "sign")
+    cut = lambda c: F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(1), F.size(c), F.lit(block)), lambda i: F.slice(c, i, block))).otherwise(F.expr("cast(array() as array<array<bigint>>)"))
+    none = F.expr("cast(array() as array<bigint>)")
+    large = some.where(~fits).select("sign", cut("items").alias("blocks"), cut("others").alias("more")).select("sign", "blocks", "more", F.posexplode("blocks").alias("i", "left"))
+    own = large.select("sign", "i", "left", F.posexplode("blocks").alias("j", "right")).where("i <= j").select("left", F.when(F.col("i") < F.col("j"), F.col("right")).otherwise(none).alias("right"), (F.col("i") == F.col("j")).alias("same"), "sign")
+    far = large.select("left", F.explode("more").alias("right"), F.lit(False).alias("same"), "sign")
+    return small.unionByName(own.unionByName(far).repartition("left", "right")).mapInPandas(_pairs, _PAIRS)
 
 
 def signed_pairs(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, n) summed over sets (items array<bigint>, sign)."""
-    return pair_rows(sets, block).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return pair_rows(sets.withColumn("others", F.expr("cast(array() as array<bigint>)")), block).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 class PairTable:
@@ -183,12 +187,15 @@ class PairTable:
             fresh = fresh.unionByName(gone.join(fresh, "basket", "left_anti"))
         fresh.write.parquet(f"{at}/sets")
         fresh = self._read([f"{at}/sets"], _SETS)
-        signed = fresh.withColumn("sign", F.lit(1).cast("bigint"))
+        plus, minus, none = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint"), F.expr("cast(array() as array<bigint>)")
         if state["sets"]:
-            old = self.baskets().join(fresh.select("basket"), "basket", "left_semi")
-            changed = signed.unionByName(old.withColumn("sign", F.lit(-1).cast("bigint")))
-            # a basket whose set is the same as before sends nothing
-            signed = changed.groupBy("basket", "items").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+            # only what differs is sent: the pairs of items that came, among themselves and with those that stayed, and likewise of items that went
+            old = self.baskets().select("basket", F.col("items").alias("old")).join(fresh.select("basket"), "basket", "left_semi")
+            both = fresh.join(old, "basket", "left").withColumn("old", F.coalesce("old", none))
+            parts = F.array(F.struct(F.array_except("items", "old").alias("items"), plus.alias("sign")), F.struct(F.array_except("old", "items").alias("items"), minus.alias("sign")))
+            signed = written(both.select(F.array_intersect("items", "old").alias("others"), F.inline(parts)).where(F.size("items") > 0), "changes")
+        else:
+            signed = fresh.select(none.alias("others"), "items", plus.alias("sign"))
         if state["buckets"] is None:
             size = F.size("items").cast("bigint")
             made = fresh.agg(F.sum(size * (size - 1) / 2)).first()[0] or 0
