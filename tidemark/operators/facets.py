@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import benchmark_id
 from tidemark.functions.vocab import CONFIDENCE, CONSTRUCT_AXES, HEADLINE_AXIS, HEADLINE_RULES
 
 
@@ -56,3 +58,26 @@ def merge_reviewed(existing: DataFrame, reviewed: DataFrame, benchmarks: DataFra
         raise ValueError(f"reviewed rows that name no benchmark: {sorted({str(r.benchmark_id or r._name) for r in lost})}")
     kept = existing.where(F.col("facet_axis") != HEADLINE_AXIS).join(ids, "benchmark_id", "left_semi").join(named.select("benchmark_id", "facet_axis").distinct(), ["benchmark_id", "facet_axis"], "left_anti")
     return kept.select(*existing.columns).unionByName(named.select(*existing.columns))
+
+
+def with_made_ids(catalogue: DataFrame, names: Sequence[str] = ("benchmark_name", "name")) -> DataFrame:
+    """A catalogue with benchmark_name, from the first of its columns `names` that is there and not blank, and the benchmark_id that belongs to the name, whatever id it came with.
+    Rows without a name are dropped."""
+    there = [c for c in names if c in catalogue.columns]
+    if not there:
+        raise ValueError(f"none of the columns {', '.join(names)} is there")
+    name = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in there])
+    rest = [c for c in catalogue.columns if c not in (*there, "benchmark_id", "benchmark_name")]
+    return catalogue.select(name.alias("benchmark_name"), *rest).where("benchmark_name is not null").withColumn("benchmark_id", benchmark_id(F.col("benchmark_name")))
+
+
+def ordered(rows: DataFrame, ranks: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """rows sorted by columns whose values have a given order; values that are not listed come after them, by their own order."""
+    keys = [k for c, values in ranks for k in (F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(c)), F.lit(0)), F.lit(len(values) + 1)), F.col(c))]
+    return rows.orderBy(*keys)
+
+
+def inferred_affiliations(author: Column, labs: Sequence[str]) -> Column:
+    """The labs that an author text names as whole words, in any case, in the order of the list and joined by semicolons; `none` where it names none."""
+    hits = F.array_compact(F.array(*[F.when(F.lower(author).rlike(rf"(?<![a-z]){re.escape(x.lower())}(?![a-z])"), F.lit(x)) for x in labs]))
+    return F.when(F.size(hits) > 0, F.array_join(hits, "; ")).otherwise("none")

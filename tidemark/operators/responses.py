@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vocab import ACCEPT_CONFIDENCE, SAFE_RELATIONSHIPS
+from tidemark.functions.vocab import ACCEPT_CONFIDENCE, CONFIDENCE, SAFE_RELATIONSHIPS
 from tidemark.operators.sizes import lookup_join
 
 ITEM = "struct<raw_name:string,canonical_name:string,relationship:string,confidence:string,source_excerpt:string>"
@@ -63,3 +65,46 @@ def review_reasons(items: DataFrame, names: DataFrame, aliases: DataFrame) -> Da
         .when(F.col("ra").isNotNull() & (F.col("ra") != target), "explicit_alias_conflicts_with_llm_mapping").otherwise("not_exact_or_explicit_alias")
     )
     return x.select(*items.columns, target.alias("benchmark_id"), reason.alias("reason"))
+
+
+FACETS = "map<string,array<struct<label:string,classification_confidence:string,evidence:string>>>"
+
+
+def facet_labels(responses: DataFrame, row_id: str, text: str, allowed: DataFrame, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(labels, faults) of responses with an object `facets` of axes with lists of labels.
+
+    labels: (row_id, facet_axis, facet_label, confidence, evidence, review_status) of the responses without a fault; where the least confidence of a response is below
+    CONFIDENCE, its labels are to be reviewed. faults: (row_id, fault, detail): no_object, unknown_axis, invalid_label, missing_evidence, bad_confidence, missing_axis. allowed:
+    (facet_axis, facet_label), a closed vocabulary.
+    """
+    parsed = responses.select(F.col(row_id).alias("row_id"), F.from_json(F.get_json_object(json_text(F.col(text)), "$.facets"), FACETS).alias("f"))
+    rows = parsed.where("f is not null").select("row_id", F.explode("f").alias("facet_axis", "entries")).select("row_id", "facet_axis", F.explode_outer("entries").alias("e"))
+    text_of = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    rows = rows.select("row_id", "facet_axis", text_of("e.label").alias("facet_label"), F.col("e.classification_confidence").try_cast("double").alias("confidence"), text_of("e.evidence").alias("evidence"), F.col("e").isNotNull().alias("there"))
+    axes = allowed.select("facet_axis", F.lit(True).alias("axis_known")).distinct()
+    known = allowed.select("facet_axis", "facet_label", F.lit(True).alias("label_known")).distinct()
+    x = rows.join(F.broadcast(axes), "facet_axis", "left").join(F.broadcast(known), ["facet_axis", "facet_label"], "left")  # closed vocabularies
+    fault = (
+        F.when(F.col("axis_known").isNull(), "unknown_axis").when(F.col("label_known").isNull(), "invalid_label").when(F.col("evidence") == "", "missing_evidence")
+        .when(F.col("confidence").isNull() | F.isnan("confidence") | ~F.col("confidence").between(0, 1), "bad_confidence")
+    )
+    x = x.withColumn("fault", F.when(F.col("there") | F.col("axis_known").isNull(), fault))
+    faults = x.where("fault is not null").select("row_id", "fault", F.concat_ws(":", "facet_axis", "facet_label").alias("detail"))
+    faults = faults.unionByName(parsed.where("f is null").select("row_id", F.lit("no_object").alias("fault"), F.lit("").alias("detail")))
+    if required:
+        need = parsed.where("f is not null").select("row_id", F.explode(F.array(*map(F.lit, required))).alias("facet_axis"))
+        lacking = need.join(x.where("there").select("row_id", "facet_axis").distinct(), ["row_id", "facet_axis"], "left_anti")
+        faults = faults.unionByName(lacking.select("row_id", F.lit("missing_axis").alias("fault"), F.col("facet_axis").alias("detail")))
+    faults = faults.distinct()
+    good = x.where("there").join(faults.select("row_id").distinct(), "row_id", "left_anti")
+    least = F.min("confidence").over(Window.partitionBy("row_id"))
+    labels = good.withColumn("review_status", F.when(least < CONFIDENCE, "needs_review").otherwise("accepted"))
+    return labels.select("row_id", "facet_axis", "facet_label", "confidence", "evidence", "review_status"), faults
+
+
+def coalesced(rows: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """rows with the columns named by `columns`, each the first text that is not blank among its own and its older names that are there; "" where there is none. Other columns
+    stay."""
+    taken = {c for old in columns.values() for c in old} | set(columns)
+    first = lambda names: F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in names if c in rows.columns], F.lit(""))
+    return rows.select(*[f"`{c}`" for c in rows.columns if c not in taken], *[first([new, *old]).alias(new) for new, old in columns.items()])

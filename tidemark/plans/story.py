@@ -10,7 +10,7 @@ from tidemark.functions.keys import stable_id
 from tidemark.functions.periods import SCHEMES, number, percent, period, period_sql, year_label
 from tidemark.functions.vocab import CONFIDENCE, HEADLINE_AXIS
 from tidemark.operators import trends
-from tidemark.operators.facets import with_headline
+from tidemark.operators.facets import inferred_affiliations, with_headline
 from tidemark.operators.shares import all_facet_weights, dedup_mentions, joined, ratio, ratio_or_zero
 from tidemark.operators.sizes import lookup_join
 from tidemark.plans import base, composition, overview, provenance
@@ -284,9 +284,16 @@ def facets_with_headline(spark: SparkSession, d: str) -> DataFrame:
     return with_headline(base.facets(spark, d, active=False))
 
 
+@base.scoped
+def affiliations(spark: SparkSession, d: str) -> DataFrame:
+    """The labs that each entry's author text names, beside those on record."""
+    c = base.catalogue(spark, d)
+    return c.select("benchmark_id", F.col("frontier_lab_author_affiliations").alias("on_record"), inferred_affiliations(F.col("source_author"), base.LABS).alias("inferred"))
+
+
 QUERIES = {f.__name__: f for f in (
     risk_flags, strategy_flags, risk_by_release, risk_by_provider, risk_portfolio, lifecycle_period_shares, lifecycle_year_shares, provider_lifecycle_all, overview_facts, cascade_table, network_summary, hypothesis_period_summary, hypothesis_axis_shares,
-    long_context_by_period, long_context_drivers, run_summary, period_labels, release_keys, facet_status_pivot, facet_status_long, import_lags_rounded, isolated_share_days, stacked_portfolio, facets_with_headline,
+    long_context_by_period, long_context_drivers, run_summary, period_labels, release_keys, facet_status_pivot, facet_status_long, import_lags_rounded, isolated_share_days, stacked_portfolio, facets_with_headline, affiliations,
 )}
 
 
@@ -353,4 +360,5 @@ from (select model_row_id, year(release_date)::bigint release_year, count(*) ove
     "isolated_share_days": "select \"day\", category, share is not null covered, share is not null and lag(share) over (partition by category order by \"day\") is null and lead(share) over (partition by category order by \"day\") is null isolated from (" + composition.SQL["domain_trend"].replace(f"interval {composition.WINDOW_DAYS - 1} days", "interval 1 days") + ")",
     "stacked_portfolio": UNITS + ", c as (select provider, facet_label, sum(w / k) v from un join lk using (benchmark_id) where facet_axis = 'domain' group by 1, 2) select provider, facet_label, round(v, 6) weight, round(sum(v) over w - v, 6) low, round(sum(v) over w, 6) high from c window w as (partition by provider order by facet_label)",
     "facets_with_headline": f"select benchmark_id, facet_axis, facet_label, confidence, review_status from ({VIEWS} select * from facall) union all select benchmark_id, '{HEADLINE_AXIS}', projection, confidence, 'needs_review' from ({composition.SQL['headline_projections']}) where benchmark_id not in (select benchmark_id from ({VIEWS} select * from fac where facet_axis = '{HEADLINE_AXIS}'))",
+    "affiliations": VIEWS + "select benchmark_id, frontier_lab_author_affiliations on_record, coalesce(nullif(array_to_string([x for x in [" + ", ".join(f"case when regexp_matches(lower(source_author), '(^|[^a-z]){x.lower()}($|[^a-z])') then '{x}' end" for x in base.LABS) + "] if x is not null], '; '), ''), 'none') inferred from cat",
 }

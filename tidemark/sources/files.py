@@ -90,3 +90,25 @@ def fill_template(template: str, values: dict[str, object]) -> str:
         return "—" if values[m[1]] is None else str(values[m[1]])
 
     return re.sub(r"\{\{([A-Za-z0-9_]+)\}\}", value, template)
+
+
+def write_manifest(spark: SparkSession, path: str, files: Sequence[str], **facts: object) -> str:
+    """Writes a JSON manifest of the files that a run made, sorted, and further facts; returns its text."""
+    text = json.dumps({"files": sorted(files), **facts}, indent=2, default=str, allow_nan=False, ensure_ascii=False, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
+def review_packet(spark: SparkSession, path: str, sections: dict[str, tuple[str, Sequence[str]]], title: str = "Review", rows: int = 500) -> str:
+    """A Markdown packet for reviewers from a JSON file: for each section (heading: field of the file, columns) a table of the field's objects, or a line that there are none. A missing
+    file raises. rows: lines of a table at most; what is left out is counted."""
+    doc = spark.read.text(path, wholetext=True)
+    out = [f"# {title}"]
+    for heading, (name, columns) in sections.items():
+        listed = doc.select(F.posexplode(F.from_json(F.get_json_object("value", f"$.{name}"), "array<map<string,string>>")).alias("at", "m"))
+        table = listed.select("at", *[F.col("m")[c].alias(c) for c in columns])
+        n = table.count()
+        out += ["", f"## {heading}", "", markdown_table(table, columns, ["at"], rows) if n else "None."]
+        if n > rows:
+            out.append(f"\n{n - rows} more.")
+    return "\n".join(out) + "\n"
