@@ -15,11 +15,11 @@ def with_launch(rows: DataFrame, link: str) -> DataFrame:
     return rows.withColumn("launch_id", launch_id(F.col("provider"), F.col("release_date"), F.col("source_url")))
 
 
-def launch_events(releases: DataFrame, mentions: DataFrame) -> DataFrame:
-    """One row per announcement (provider, date, address), those without mentions too."""
-    rows = with_launch(releases, "link")
-    ids = mentions.select("model_row_id", "benchmark_id").join(rows.select("model_row_id", "launch_id"), "model_row_id").groupBy("launch_id").agg(F.count_distinct("benchmark_id").alias("benchmark_count"))
-    events = rows.groupBy("launch_id", "provider", "release_date", "source_url").agg(joined(F.nullif(F.col("model_name"), F.lit(""))).alias("model_names"), F.count("*").alias("model_row_count"))
+def launch_events(releases: DataFrame, mentions: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row per announcement (provider, date, address), those without mentions too. found: launch_mentions of the same releases, where they are there already; their rows are
+    the benchmarks of each."""
+    ids = (launch_mentions(releases, mentions) if found is None else found).groupBy("launch_id").agg(F.count("*").alias("benchmark_count"))
+    events = with_launch(releases, "link").groupBy("launch_id", "provider", "release_date", "source_url").agg(joined(F.nullif(F.col("model_name"), F.lit(""))).alias("model_names"), F.count("*").alias("model_row_count"))
     out = events.join(ids, "launch_id", "left").withColumn("benchmark_count", F.coalesce("benchmark_count", F.lit(0)).cast("bigint"))
     return out.withColumn("has_benchmark_mentions", F.col("benchmark_count") > 0)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.sizes import lookup_join
+from tidemark.session import written
 
 
 class Child(NamedTuple):
@@ -47,7 +48,7 @@ def orphan_rows(children: Sequence[Child], parents: DataFrame) -> DataFrame:
     never = keys.join(spans, keys.reference == spans.key, "left_anti").select("reference", F.expr("cast(null as array<struct<since:timestamp,until:timestamp>>)").alias("spans"))
     whole = F.exists("spans", lambda s: (s.since <= F.col("least")) & (s.until.isNull() | (F.col("most") < s.until)))
     partly = keys.join(spans, keys.reference == spans.key).where(F.col("least").isNotNull() & ~whole).select("reference", spans.spans.cast("array<struct<since:timestamp,until:timestamp>>").alias("spans"))
-    suspects = never.unionByName(partly)
+    suspects = written(never.unionByName(partly), "suspects")  # counted, and joined back
     found = lookup_join(rows, suspects, "reference")
     at = F.col("written_at").cast("timestamp")
     return found.where(F.col("spans").isNull() | (at.isNotNull() & ~_live(at))).drop("spans")
@@ -57,5 +58,5 @@ def orphan_counts(children: Sequence[Child], parents: DataFrame, period: str = "
     """(source_table, period, orphans, orphan_keys) per table and period of writing; each row key counts once. Rows without a
     time stand under a null period. A key delivered in several periods counts in each."""
     rows = orphan_rows(children, parents).select("source_table", "row_key", "reference", F.to_date(F.date_trunc(period, "written_at")).alias("period")).distinct()
-    by_key = rows.groupBy("source_table", "period", "reference").agg(F.count_distinct("row_key").alias("n"))
+    by_key = rows.groupBy("source_table", "period", "reference").agg(F.count("*").alias("n"))  # rows are distinct
     return by_key.groupBy("source_table", "period").agg(F.sum("n").alias("orphans"), F.count("*").alias("orphan_keys"))

@@ -358,3 +358,7 @@ def _rule(spec: dict) -> str:
 _RULE_AXES = sorted({a.removeprefix("!") for _, r in HEADLINE_RULES for a in r})
 SQL["headline_projections"] = VIEWS + f""", x as (select benchmark_id, case when facet_axis in {CONSTRUCT_AXES} then 'construct_claim' else facet_axis end axis, lower(trim(facet_label)) label, confidence from fac)
 select * from (select benchmark_id, case {" ".join(f"when {_rule(r)} then '{n}'" for n, r in HEADLINE_RULES)} end projection, coalesce(min(confidence), {CONFIDENCE}) confidence from x where axis in {tuple(_RULE_AXES)} group by 1) where projection is not null"""
+SQL["timeline_lanes"] = VIEWS.replace("with ", "with recursive ", 1) + """, o as (select provider, release_date, label, datediff('day', date '1970-01-01', release_date) x, row_number() over (partition by provider order by release_date, label) k from (select provider, release_date, model_name || ' #' || lpad(model_row_id::varchar, 12, '0') label from rel)),
+r as (select provider, release_date, label, k, 0 lane, [x + 15] ends from o where k = 1 union all select provider, release_date, label, k, l, case when l < len(ends) then ends[1:l] || [x + 15] || ends[l + 2:] else ends || [x + 15] end
+  from (select o.provider, o.release_date, o.label, o.k, o.x, r.ends, coalesce(list_position(list_transform(r.ends, lambda e: e <= o.x - 15), true), len(r.ends) + 1) - 1 l from r join o on o.provider = r.provider and o.k = r.k + 1))
+select provider, release_date, label, lane::bigint lane from r"""

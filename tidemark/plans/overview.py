@@ -9,6 +9,7 @@ from tidemark.operators import launches
 from tidemark.operators.shares import dedup_mentions, joined, ratio
 from tidemark.plans import base
 from tidemark.plans.base import CUT, LAUNCHES, LIFE, VIEWS
+from tidemark.session import written
 
 #: Labels of interaction_pattern that count as acting on something.
 POSITIVE = ("environment", "tool_use")
@@ -59,24 +60,32 @@ def launch_mentions(spark: SparkSession, d: str) -> DataFrame:
     return launches.launch_mentions(base.releases(spark, d), base.mentions(spark, d))
 
 
+def _launches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Announcements, and announcements by benchmark, made once for all that reads them."""
+    found = written(launch_mentions(spark, d), "launches")
+    return written(launches.launch_events(base.releases(spark, d), base.mentions(spark, d), found), "launches"), found
+
+
 @base.scoped
 def provider_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """R8, the adopters: pairs without a mention follow from the catalogue and the list of providers and hold only zeros."""
-    return launches.provider_lifecycles(launch_events(spark, d), launch_mentions(spark, d), base.cutoff(spark, d))
+    return launches.provider_lifecycles(*_launches(spark, d), base.cutoff(spark, d))
 
 
 @base.scoped
 def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Every catalogue entry through its announcements."""
-    ev, lm = launch_events(spark, d), launch_mentions(spark, d)
-    return launches.lifecycles(base.catalogue(spark, d), launches.provider_lifecycles(ev, lm, base.cutoff(spark, d)), ev, lm, base.cutoff(spark, d))
+    ev, lm = _launches(spark, d)
+    adopters = written(launches.provider_lifecycles(ev, lm, base.cutoff(spark, d)), "adopters")
+    return launches.lifecycles(base.catalogue(spark, d), adopters, ev, lm, base.cutoff(spark, d))
 
 
 @base.scoped
 def coverage_by_provider(spark: SparkSession, d: str) -> DataFrame:
     """Inventory of each provider."""
-    ev = launch_events(spark, d).groupBy("provider").agg(F.sum("model_row_count").alias("model_rows"), F.count("*").alias("launch_events"), F.count_if("has_benchmark_mentions").alias("benchmark_bearing_launches"), F.min("release_date").alias("first_release"), F.max("release_date").alias("last_release"))
-    ids = launch_mentions(spark, d).select("provider", "benchmark_id").distinct().groupBy("provider").agg(F.count("*").alias("n"))
+    events, found = _launches(spark, d)
+    ev = events.groupBy("provider").agg(F.sum("model_row_count").alias("model_rows"), F.count("*").alias("launch_events"), F.count_if("has_benchmark_mentions").alias("benchmark_bearing_launches"), F.min("release_date").alias("first_release"), F.max("release_date").alias("last_release"))
+    ids = found.select("provider", "benchmark_id").distinct().groupBy("provider").agg(F.count("*").alias("n"))
     return ev.join(ids, "provider", "left").withColumn("observed_benchmarks", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
 
 
@@ -84,8 +93,8 @@ def coverage_by_provider(spark: SparkSession, d: str) -> DataFrame:
 def annual_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Inventory of each year, with benchmarks first seen in it."""
     year = lambda c: F.year(c).cast("bigint").alias("release_year")
-    lm = launch_mentions(spark, d)
-    ev = launch_events(spark, d).groupBy(year("release_date")).agg(F.sum("model_row_count").alias("model_rows"), F.count("*").alias("launch_events"), F.count_if("has_benchmark_mentions").alias("benchmark_bearing_launches"))
+    events, lm = _launches(spark, d)
+    ev = events.groupBy(year("release_date")).agg(F.sum("model_row_count").alias("model_rows"), F.count("*").alias("launch_events"), F.count_if("has_benchmark_mentions").alias("benchmark_bearing_launches"))
     ms = lm.groupBy(year("release_date")).agg(F.count("*").alias("launch_mentions"))
     new = lm.groupBy("benchmark_id").agg(F.min("release_date").alias("f")).groupBy(year("f")).agg(F.count("*").alias("new_identities"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)

@@ -10,6 +10,7 @@ from tidemark.operators.shares import joined, ratio_or_zero
 from tidemark.operators.sizes import lookup_join
 from tidemark.plans import base
 from tidemark.plans.base import LABS, VIEWS
+from tidemark.session import written
 
 _LABS = [x.lower() for x in LABS]
 POSITIONS = ("unknown_affiliation", "neutral_or_non_frontier", "mixed_own_and_competitor", "own_lab_only", "competitor_lab_only")
@@ -97,9 +98,9 @@ def cross_lab_matrix(spark: SparkSession, d: str) -> DataFrame:
     return e.select("provider", "period", "benchmark_id", "n", F.explode("targets").alias("target_lab")).groupBy("provider", "period", "target_lab").agg(F.sum("n").alias("mentions"), F.count("*").alias("unique_benchmarks"))
 
 
-def _firsts(spark: SparkSession, d: str) -> DataFrame:
+def _firsts(spark: SparkSession, d: str, mentions: DataFrame | None = None) -> DataFrame:
     """The first mention of each benchmark by each provider."""
-    return base.mentions(spark, d).groupBy("benchmark_id", "provider").agg(F.min(F.struct("release_date", "model_name", "mention_index", "raw_mention")).alias("f"), F.count("*").alias("n"), F.max("release_date").alias("last")).select("benchmark_id", "provider", "f.release_date", "f.model_name", "f.raw_mention", "n", "last")
+    return (base.mentions(spark, d) if mentions is None else mentions).groupBy("benchmark_id", "provider").agg(F.min(F.struct("release_date", "model_name", "mention_index", "raw_mention")).alias("f"), F.count("*").alias("n"), F.max("release_date").alias("last")).select("benchmark_id", "provider", "f.release_date", "f.model_name", "f.raw_mention", "n", "last")
 
 
 @base.scoped
@@ -135,7 +136,9 @@ def high_signal(spark: SparkSession, d: str) -> DataFrame:
 @base.scoped
 def cascade_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Reach, path and pace of each benchmark; the second provider is the first that did not tie with the first day."""
-    f = _firsts(spark, d)
+    # cleaned once; its readers take the columns that they need
+    m = written(base.mentions(spark, d).select("benchmark_id", "provider", "release_date", "model_name", "mention_index", "raw_mention", "model_row_id"), "mentions")
+    f = _firsts(spark, d, m)
     start = F.min("release_date").over(Window.partitionBy("benchmark_id"))
     f = f.withColumn("start", start).withColumn("follows", F.col("release_date") > F.col("start"))
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("release_date", "provider"))), lambda s: F.concat(s["provider"], F.lit(" ("), F.date_format(s["release_date"], "yyyy-MM-dd"), F.lit(")"))), " -> ")
@@ -143,7 +146,6 @@ def cascade_metrics(spark: SparkSession, d: str) -> DataFrame:
         F.min("release_date").alias("first_date"), F.max("last").alias("last_date"), joined(F.when(~F.col("follows"), F.col("provider"))).alias("first_providers"), F.count_if(~F.col("follows")).alias("first_provider_count"),
         F.count("*").alias("provider_count"), F.sum("n").alias("total_mentions"), path.alias("provider_adoption_path"), F.min(F.when(F.col("follows"), F.struct("release_date", "provider"))).alias("s"),
     )
-    m = base.mentions(spark, d)
     raw = m.select("benchmark_id", "raw_mention").distinct().groupBy("benchmark_id").agg(F.count("*").alias("raw_variant_count"))
     rel = m.select("benchmark_id", "model_row_id").distinct().groupBy("benchmark_id").agg(F.count("*").alias("release_count"))
     half = key_quantiles(m, "benchmark_id", "release_date", (0.5,)).select(F.col("key").alias("benchmark_id"), F.col("value").alias("half"))
@@ -192,9 +194,10 @@ def diffusion_roles(spark: SparkSession, d: str) -> DataFrame:
 @base.scoped
 def release_strategy(spark: SparkSession, d: str) -> DataFrame:
     """Of each release's benchmarks, how many are new, repeated, or used before by others. First dates replace any look into the past."""
-    f = _firsts(spark, d).select("benchmark_id", "provider", F.col("release_date").alias("p"))
+    m = written(base.mentions(spark, d).select("benchmark_id", "provider", "release_date", "model_name", "mention_index", "raw_mention", "model_row_id"), "mentions")
+    f = _firsts(spark, d, m).select("benchmark_id", "provider", F.col("release_date").alias("p"))
     two = f.groupBy("benchmark_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("p", "provider"))), 1, 2).alias("two"))
-    ids = base.mentions(spark, d).select("model_row_id", "provider", "release_date", "benchmark_id").distinct()
+    ids = m.select("model_row_id", "provider", "release_date", "benchmark_id").distinct()
     x = lookup_join(ids, two, "benchmark_id").withColumn("g", F.col("two")[0]["p"])
     x = x.withColumn("others", F.when(F.col("two")[0]["provider"] != F.col("provider"), F.col("two")[0]["p"]).otherwise(F.try_element_at("two", F.lit(2))["p"]))
     both = F.concat_ws("\u0001", "benchmark_id", "provider")

@@ -16,6 +16,7 @@ from tidemark.operators.resolve import build_resolved_mentions, exploded
 from tidemark.plans import base
 from tidemark.plans.base import LABS, LAUNCHES, VIEWS
 from tidemark.plans.composition import AXES
+from tidemark.plans.composition import SQL as COMPOSITION
 from tidemark.sources.tables import load
 
 STATUSES = ("accepted", "deprecated", "disputed", "legacy_seed", "needs_review")
@@ -152,13 +153,9 @@ def violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @base.scoped
-def all_violations(spark: SparkSession, d: str, reviewed: DataFrame | None = None) -> DataFrame:
-    """Violations and the rules that it leaves out: closed vocabularies, unused aliases and names, near duplicates, several or
-    underivable headlines, release dates, missing confidences and names equal but for case and form.
-
-    reviewed: (benchmark_id_a, benchmark_id_b, note), near duplicates that were found to be two entries; such pairs are no violation, and the
-    list itself is checked. V1 and V15 are checked where files are read (read_csv, merge_reviewed), which raise.
-    """
+def further_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What violations leaves out: closed vocabularies, unused aliases and names, several or underivable headlines, release dates, missing
+    confidences and names equal but for case and form. Rules of one table are tested in one read of it."""
     bm = load(spark, d, "benchmarks").select(norm_id("benchmark_id").alias("id"), "benchmark_name", F.trim("legacy_task_mode").alias("mode"), F.trim("legacy_task_domain").alias("domain")).distinct()
     al = load(spark, d, "benchmark_aliases").select(F.col("alias_id").cast("string").alias("k"), "alias").distinct()
     confidence = F.max(F.when(~F.isnan("classification_confidence"), F.col("classification_confidence")))
@@ -168,9 +165,7 @@ def all_violations(spark: SparkSession, d: str, reviewed: DataFrame | None = Non
     names = bm.select(F.trim("benchmark_name").alias("name"), exact_key("benchmark_name").alias("used"))
     headed = fa.where(F.col("facet_axis") == HEADLINE_AXIS).groupBy("benchmark_id").agg(F.count("*").alias("n"))
     full = fa.where(F.col("facet_axis").isin(*AXES)).groupBy("benchmark_id").agg(F.count_distinct("facet_axis").alias("n")).where(F.col("n") == len(AXES))
-    pairs = near_duplicate_names(spark, d).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     k = lambda c: F.col(c).cast("string").alias("key")
-    pair = F.concat_ws("|", "a", "b").alias("key")
 
     def broken(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
         """(rule, severity, key) of the rows, read once, that meet the conditions of errors."""
@@ -179,6 +174,11 @@ def all_violations(spark: SparkSession, d: str, reviewed: DataFrame | None = Non
     odd = F.lit(False)
     for axis, labels in FACET_LABELS.items():
         odd = odd | ((F.col("axis") == axis) & (F.col("label") != "") & ~F.col("label").isin(*labels))
+    out = broken(bm, "id", {
+        "invalid_task_mode": (F.col("mode") != "") & ~F.col("mode").isin(*TASK_MODES), "invalid_task_domain": (F.col("domain") != "") & ~F.col("domain").isin(*TASK_DOMAINS),
+    }).unionByName(broken(raw, "facet_row_id", {
+        "facet_status_blank": F.coalesce("status", F.lit("")) == "", "facet_status_invalid": (F.col("status") != "") & ~F.col("status").isin(*STATUSES), "facet_confidence_missing": F.col("confidence").isNull(), "facet_label_invalid": odd,
+    }))
     checks: list[tuple[str, str, DataFrame]] = [
         ("invalid_release_date", "error", load(spark, d, "models").where("release_date is null").select(k("model_row_id"))),
         ("duplicate_name_identity", "error", bm.where("trim(benchmark_name) <> ''").select("id", identity_key("benchmark_name").alias("i")).groupBy("i").agg(F.count_distinct("id").alias("n")).where("n > 1").select(k("i"))),
@@ -188,8 +188,23 @@ def all_violations(spark: SparkSession, d: str, reviewed: DataFrame | None = Non
         ("headline_repeated", "error", headed.where("n > 1").select(k("benchmark_id"))),
         ("headline_not_derivable", "error", full.join(headline_projection(fa), "benchmark_id", "left_anti").select(k("benchmark_id"))),
     ]
+    for rule, severity, rows in checks:
+        out = out.unionByName(rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "key"))
+    return out.distinct()
+
+
+@base.scoped
+def all_violations(spark: SparkSession, d: str, reviewed: DataFrame | None = None) -> DataFrame:
+    """Violations, further_violations and near duplicates (V8).
+
+    reviewed: (benchmark_id_a, benchmark_id_b, note), near duplicates that were found to be two entries; such pairs are no violation, and the
+    list itself is checked. V1 and V15 are checked where files are read (read_csv, merge_reviewed), which raise.
+    """
+    pairs = near_duplicate_names(spark, d).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    pair = F.concat_ws("|", "a", "b").alias("key")
+    checks: list[tuple[str, str, DataFrame]] = []
     if reviewed is not None:
-        known = bm.select("id").where("id is not null").distinct()
+        known = load(spark, d, "benchmarks").select(norm_id("benchmark_id").alias("id")).where("id is not null").distinct()
         x, y = (F.coalesce(norm_id(c), F.lit("")) for c in ("benchmark_id_a", "benchmark_id_b"))
         rv = reviewed.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), exact_key("note").alias("note"))
         two = rv.where("a <> '' and a <> b")
@@ -202,18 +217,14 @@ def all_violations(spark: SparkSession, d: str, reviewed: DataFrame | None = Non
         ]
         pairs = pairs.join(good.select("a", "b").distinct(), ["a", "b"], "left_anti")
     checks.append(("near_duplicate", "warning", pairs.select(pair)))
-    out = violations(spark, d).unionByName(broken(bm, "id", {
-        "invalid_task_mode": (F.col("mode") != "") & ~F.col("mode").isin(*TASK_MODES), "invalid_task_domain": (F.col("domain") != "") & ~F.col("domain").isin(*TASK_DOMAINS),
-    })).unionByName(broken(raw, "facet_row_id", {
-        "facet_status_blank": F.coalesce("status", F.lit("")) == "", "facet_status_invalid": (F.col("status") != "") & ~F.col("status").isin(*STATUSES), "facet_confidence_missing": F.col("confidence").isNull(), "facet_label_invalid": odd,
-    }))
+    out = violations(spark, d).unionByName(further_violations(spark, d))
     for rule, severity, rows in checks:
         out = out.unionByName(rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "key"))
     return out.distinct()
 
 
 QUERIES = {f.__name__: f for f in (
-    resolved_mentions, unresolved_mentions, resolved_dedup, resolved_drop_release, name_keys, source_urls, near_duplicate_names, page_mentions, resolution_accuracy, resolution_accuracy_micro, violations, all_violations,
+    resolved_mentions, unresolved_mentions, resolved_dedup, resolved_drop_release, name_keys, source_urls, near_duplicate_names, page_mentions, resolution_accuracy, resolution_accuracy_micro, violations, further_violations, all_violations,
 )}
 
 _KEY = "trim(regexp_replace(replace(replace({c}, chr(160), ' '), '，', ','), '\\s+', ' ', 'g'))"
@@ -234,6 +245,8 @@ def _in(xs) -> str:
     return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
+SQL_HEADLINE = COMPOSITION["headline_projections"]
+
 SQL = {
     "resolved_mentions": _RES + _ROW + "rs where benchmark_id is not null",
     "unresolved_mentions": _RES + "select model_row_id, provider, \"position\", raw_mention from rs where benchmark_id is null",
@@ -265,4 +278,21 @@ union all select 'facet_axis_unknown', 'error', facet_row_id::varchar from facal
 union all select 'facet_owner_unknown', 'error', facet_row_id::varchar from facall where benchmark_id not in (select id from ids)
 union all select 'facet_duplicate', 'error', benchmark_id || '|' || facet_axis || '|' || facet_label from fac group by benchmark_id, facet_axis, facet_label having count(*) > 1
 union all select 'facet_axis_missing', 'error', id || '|' || x from ids cross join (select unnest({list(AXES)}) x) where not exists (select 1 from fac where fac.benchmark_id = ids.id and fac.facet_axis = x))""",
+    "further_violations": _RES + f""", bm as (select distinct lower(trim(benchmark_id)) id, benchmark_name, trim(legacy_task_mode) m, trim(legacy_task_domain) o from benchmarks), a as (select distinct alias_id::varchar k, alias from benchmark_aliases), u as (select distinct raw_mention from ex),
+fr as (select facet_row_id::varchar k, min(trim(facet_axis)) x, min(trim(facet_label)) l, min(trim(review_status)) s, max(case when not isnan(classification_confidence) then classification_confidence end) c from benchmark_facets group by facet_row_id),
+hp as ({SQL_HEADLINE})
+select distinct rule, severity, "key" from (
+select 'invalid_task_mode' rule, 'error' severity, id "key" from bm where m <> '' and m not in {_in(TASK_MODES)}
+union all select 'invalid_task_domain', 'error', id from bm where o <> '' and o not in {_in(TASK_DOMAINS)}
+union all select 'facet_status_blank', 'error', k from fr where coalesce(s, '') = ''
+union all select 'facet_status_invalid', 'error', k from fr where s <> '' and s not in {_in(STATUSES)}
+union all select 'facet_confidence_missing', 'error', k from fr where c is null
+union all select 'facet_label_invalid', 'error', k from fr where l <> '' and ({" or ".join(f"(x = '{axis}' and l not in {_in(labels)})" for axis, labels in FACET_LABELS.items())})
+union all select 'invalid_release_date', 'error', model_row_id::varchar from models where release_date is null
+union all select 'duplicate_name_identity', 'error', lower({_KEY.format(c="benchmark_name")}) from bm where trim(benchmark_name) <> '' group by 3 having count(distinct id) > 1
+union all select 'duplicate_alias_identity', 'error', lower({_KEY.format(c="alias")}) from a where trim(alias) <> '' group by 3 having count(distinct k) > 1
+union all select 'unused_alias', 'warning', k from a where coalesce({_KEY.format(c="alias")}, '') not in (select raw_mention from u)
+union all select 'unused_name', 'warning', coalesce(trim(benchmark_name), '') from bm where coalesce({_KEY.format(c="benchmark_name")}, '') not in (select raw_mention from u)
+union all select 'headline_repeated', 'error', benchmark_id from fac where facet_axis = '{HEADLINE_AXIS}' group by benchmark_id having count(*) > 1
+union all select 'headline_not_derivable', 'error', benchmark_id from fac where facet_axis in {_in(AXES)} group by benchmark_id having count(distinct facet_axis) = {len(AXES)} and benchmark_id not in (select benchmark_id from hp))""",
 }
