@@ -362,3 +362,13 @@ SQL["timeline_lanes"] = VIEWS.replace("with ", "with recursive ", 1) + """, o as
 r as (select provider, release_date, label, k, 0 lane, [x + 15] ends from o where k = 1 union all select provider, release_date, label, k, l, case when l < len(ends) then ends[1:l] || [x + 15] || ends[l + 2:] else ends || [x + 15] end
   from (select o.provider, o.release_date, o.label, o.k, o.x, r.ends, coalesce(list_position(list_transform(r.ends, lambda e: e <= o.x - 15), true), len(r.ends) + 1) - 1 l from r join o on o.provider = r.provider and o.k = r.k + 1))
 select provider, release_date, label, lane::bigint lane from r"""
+SQL["summary_stats"] = VIEWS + ", m as (select *, release_date >= (select max(release_date) from men) - " + str(RECENT_DAYS) + """ recent from men) select max(release_date) latest_release_date, count(distinct model_row_id) model_rows_with_benchmarks, count(*) resolved_mentions, count(distinct benchmark_id) unique_resolved_benchmarks,
+count_if(recent) recent_365d_resolved_mentions, count(distinct benchmark_id) filter (recent) recent_365d_unique_benchmarks, (select count(*) from facall) facet_rows, (select count_if(review_status = 'needs_review') from facall) facet_needs_review_rows, (select count_if(review_status = 'legacy_seed') from facall) facet_legacy_seed_rows, (select count_if(review_status = 'accepted') from facall) facet_accepted_rows from m"""
+SQL["story_summary"] = VIEWS + f"""select unnest(['as_of', 'resolved_mentions', 'unique_benchmarks', 'benchmarked_releases']) metric, unnest([strftime({CUT}, '%Y-%m-%d'), count(*)::varchar, count(distinct benchmark_id)::varchar, count(distinct model_row_id)::varchar]) "value" from ded"""
+SQL["sensitivity_confident"] = VIEWS + f""", cf as (select benchmark_id, {_hit(FLAGS["is_agentic"])} ag, count(distinct facet_axis) = {len(AXES)} full_ from fac where confidence >= {CONFIDENCE} group by 1), x as (select ded.*, coalesce(ag, false) ag, coalesce(full_, false) full_, v.variant from ded left join cf using (benchmark_id) cross join (select unnest(['confident_lower_bound', 'confident_complete_axes']) variant) v),
+r as (select variant, model_row_id, release_year, sum(case when ag then multiplicity else 0 end)::double / sum(multiplicity) s from x where variant = 'confident_lower_bound' or full_ group by 1, 2, 3) select variant, release_year, count(*) releases, round(avg(s), 6) mean_agentic_share from r group by 1, 2"""
+SQL["axis_trends"] = VIEWS + f""", hp as ({SQL["headline_projections"]}), lx as (select distinct benchmark_id, facet_axis, facet_label from (select benchmark_id, facet_axis, facet_label from fac where facet_axis in {(*AXES, HEADLINE_AXIS)} union all select benchmark_id, '{HEADLINE_AXIS}', projection from hp where benchmark_id not in (select benchmark_id from fac where facet_axis = '{HEADLINE_AXIS}'))),
+ly as (select *, count(*) over (partition by benchmark_id, facet_axis) k from lx), e as (select facet_axis a, release_date d, facet_label l, sum(raw_weight / k) lw from ded join ly using (benchmark_id) group by 1, 2, 3), kp as (select a, l, dense_rank() over (partition by a order by round(sum(lw), 9) desc, l) r from e group by 1, 2),
+dy as (select e.a, d, case when r <= {TREND_LABELS} then e.l else 'Other' end c, sum(lw) lw, count(*) n from e join kp on kp.a = e.a and kp.l = e.l group by 1, 2, 3), sp as (select a, unnest(generate_series(min(d), {CUT}, interval 1 day))::date d from dy group by a),
+s as (select sp.a, sp.d, q.c, coalesce(sum(lw) over w, 0) w, coalesce(sum(n) over w, 0) n from sp join (select distinct a, c from dy) q on q.a = sp.a left join dy on dy.a = sp.a and dy.d = sp.d and dy.c = q.c window w as (partition by sp.a, q.c order by sp.d range between interval {TREND_DAYS - 1} days preceding and current row))
+select a facet_axis, d "day", c category, case when sum(n) over (partition by a, d) > 0 then round(w / sum(w) over (partition by a, d), 6) end share from s"""
