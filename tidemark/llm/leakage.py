@@ -209,14 +209,14 @@ class Scanner:
 
     def numbers(self, text: str) -> np.ndarray:
         """The words of a text as numbers, -1 for those that no item has."""
-        known, vocabulary, out = self.known, self.vocabulary, []
-        for w in _WORD.findall(plain(text)):
-            n = known.get(w)
-            if n is None:
-                if len(known) > 500_000:
-                    known.clear()
-                n = known[w] = vocabulary.get(folded(w), -1)
-            out.append(n)
+        known, found = self.known, _WORD.findall(plain(text))
+        out = list(map(known.get, found))
+        if None in out:
+            if len(known) > 500_000:
+                known.clear()
+            for i, w in enumerate(found):
+                if out[i] is None:
+                    out[i] = known[w] = self.vocabulary.get(folded(w), -1)
         return np.array(out, np.int32)
 
     def leaks(self, text: str) -> list[tuple[int, float]]:
@@ -302,10 +302,10 @@ class Scanner:
             if np.searchsorted(seeds, last + room, "right") - at >= self.seeds[s]:
                 first, k = low - room, last + room - (low - room) + 1
                 agree = self._agree(doc, item, first, k)
-                # diagonals on which an alignment could run; the outer ones without a word that agrees only move it away
-                used = np.nonzero(agree.any(0))[0]
-                reach = longest_span(agree.any(1), self.altered)  # no alignment spans more
-                if reach[1] - reach[0] > best:
+                anywhere = agree.any(1)
+                # no alignment has more words that agree, or spans more
+                if anywhere.sum() >= self._unaltered(least) and np.subtract(*longest_span(anywhere, self.altered)[::-1]) > best:
+                    used = np.nonzero(agree.any(0))[0]  # outer diagonals without a word that agrees only move an alignment away
                     first, k, agree = first + int(used[0]), int(used[-1] - used[0]) + 1, agree[:, used[0] : used[-1] + 1]
                     ahead = longest_span(agree[:, agree.sum(0).argmax()], self.altered)
                     if ahead[1] - ahead[0] == m:
@@ -326,7 +326,7 @@ class Scanner:
         padded = np.full(m + k - 1, -1, np.int32)
         if a < b:
             padded[a - first : b - first] = doc[a:b]
-        return np.lib.stride_tricks.sliding_window_view(padded, k) == item[:, None]
+        return np.ndarray((m, k), np.int32, padded, strides=(4, 4)) == item[:, None]
 
     def _step(self, state: np.ndarray, agree: np.ndarray, slope: np.ndarray) -> np.ndarray:
         """Best scores by diagonal after one more word of the item: it agrees, is replaced or is missing, and then words may be put in."""
