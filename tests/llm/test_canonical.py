@@ -168,3 +168,13 @@ def test_against_all_entries():
         near = sorted((distance(w[0], n, bound(len(n), 1)), n) for n in names if distance(w[0], n, bound(len(n), 1)) <= bound(len(n), 1))
         hit = m._nearest(w)
         assert (hit is None and not near) or (hit[0], hit[2]) == near[0], (w, near[:2], hit)
+
+
+def test_fillers_and_remarks_are_arguments():
+    """Other words and settings can be left out in their place."""
+    import re
+
+    entries = [("Glonteal", "g", 1)]
+    assert Matcher(entries).find("Glonteal score") == ("g", 0.0) and Matcher(entries).find("Glonteal wertung") is None
+    mine = Matcher(entries, fillers=frozenset({"wertung"}), remark=re.compile("stufe [0-9]+"))
+    assert mine.find("Glonteal wertung") == ("g", 0.0) and mine.find("Glonteal stufe 12") == ("g", 0.0) and mine.find("Glonteal score") is None

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import written
 
@@ -51,7 +52,7 @@ FILLERS = frozenset(
     "updated using via with without".split()
 )
 #: Settings and score remarks.
-_REMARK = re.compile(
+REMARK = re.compile(
     r"\b(?:(?:\d+|zero|one|few|multi)[- ]?shots?|(?:pass|maj|cons|best|acc|prec|recall|hit|top)\s*@\s*\d+|(?:avg|average|mean|best|median)\.?(?:\s*(?:of|over|@))?\s*\d+(?:\s*(?:runs?|seeds?|trials?|samples?))?"
     r"|\d+\s*(?:runs?|seeds?|trials?|samples?|attempts?)|[nk]\s*=\s*\d+|t(?:emp(?:erature)?)?\s*=\s*[\d.]+|(?:w/|w/o|with|without|no)\s*(?:tools?|cot|thinking|search|code|internet|python)"
     r"|cot|chain of thought|greedy|[\d.]+\s?%|internal (?:run|setting)s?)(?!\w)",
@@ -114,43 +115,44 @@ class Asked(set):
         return False
 
 
-def readings(raw: str, providers: Collection[tuple[str, ...]], lengths: Collection[int] | None = None) -> list[tuple[tuple[str, ...], int]]:
-    """(words, how much was left out) of the ways to read a typed value, the fullest first. lengths: the numbers of words that providers have."""
+def readings(raw: str, providers: Collection[tuple[str, ...]], lengths: Collection[int] | None = None, fillers: frozenset[str] = FILLERS, remark: re.Pattern = REMARK) -> list[tuple[tuple[str, ...], int]]:
+    """(words, how much was left out) of the ways to read a typed value, the fullest first. lengths: the numbers of words that providers have; fillers and remark: words and
+    settings that say nothing about which entry is meant."""
     lengths = {len(p) for p in providers} if lengths is None else lengths
     text = simplify(raw)
     out: dict[tuple[str, ...], int] = {}
 
     def add(words: tuple[str, ...], left: int) -> None:
-        for w in _trimmed(words):
+        for w in _trimmed(words, fillers):
             cost = left + (w != words)
             out[w] = min(out.get(w, 99), cost)
             for n in lengths:
                 if len(w) > n:
                     rest = [w[n:]] * (w[:n] in providers) + [w[:-n]] * (w[-n:] in providers)
-                    for x in {y for r in rest for y in _trimmed(r)}:
+                    for x in {y for r in rest for y in _trimmed(r, fillers)}:
                         out[x] = min(out.get(x, 99), cost + 1)
 
-    bare = _REMARK.sub(" ", text)
+    bare = remark.sub(" ", text)
     add(tokens(text), 0)
     add(tokens(bare), 1)
     inside = [next(x for x in m if x is not None) for m in _BRACKETS.findall(text) if any(m)] if _BRACKETS.search(text) else []
     if _BRACKETS.search(text):
         outside = _BRACKETS.sub(" ", text)
         add(tokens(outside), 2)
-        add(tokens(_REMARK.sub(" ", outside)), 2)
+        add(tokens(remark.sub(" ", outside)), 2)
         # brackets with a remark beside brackets that belong to the name
         for m in _BRACKETS.finditer(text):
             one = text[: m.start()] + " " + text[m.end() :]
             add(tokens(one), 2)
-            add(tokens(_REMARK.sub(" ", one)), 2)
+            add(tokens(remark.sub(" ", one)), 2)
     for cut in (r"\s[-–—]+\s", r":", r",", r";", r"\s/\s"):
         pieces = re.split(cut, text)
         if len(pieces) > 1:
-            add(tokens(_REMARK.sub(" ", pieces[0])), 3)
+            add(tokens(remark.sub(" ", pieces[0])), 3)
             if cut == ":":
-                add(tokens(_REMARK.sub(" ", pieces[-1])), 3)
+                add(tokens(remark.sub(" ", pieces[-1])), 3)
     for x in inside:
-        add(tokens(_REMARK.sub(" ", x)), 4)
+        add(tokens(remark.sub(" ", x)), 4)
     return sorted(out.items(), key=lambda x: (x[1], -len(x[0]), x[0]))
 
 
@@ -234,7 +236,8 @@ def _best_order(bag: list[str], name: str, limit: float) -> float | None:
 class Matcher:
     """Looks typed values up in entries (name, target, frequency). A target of None names nothing."""
 
-    def __init__(self, entries: Sequence[tuple[str, str | None, int]], providers: Sequence[str] = ()):
+    def __init__(self, entries: Sequence[tuple[str, str | None, int]], providers: Sequence[str] = (), fillers: frozenset[str] = FILLERS, remark: re.Pattern = REMARK):
+        self.silent = fillers, remark
         best: dict[tuple[str, tuple[str, ...]], dict] = {}
         self.words: dict[tuple, int] = {}
         for name, target, n in sorted(entries, key=lambda e: (e[1] is None, -e[2], e[1] or "", e[0])):
@@ -317,11 +320,11 @@ class Matcher:
 
     def _rank(self, raw: str, own_provider: str | None, near: frozenset[tuple[str, ...]] | None) -> tuple[bool, float, int, int, int, str | None] | None:
         if near is not None:
-            tried = readings(raw, near)
+            tried = readings(raw, near, None, *self.silent)
         elif self.providers:
-            tried = readings(raw, self.providers, self.lengths)
+            tried = readings(raw, self.providers, self.lengths, *self.silent)
         else:
-            tried = readings(raw, {tokens(simplify(own_provider))} - {()} if own_provider else ())
+            tried = readings(raw, {tokens(simplify(own_provider))} - {()} if own_provider else (), None, *self.silent)
         ranked = []
         for i, (words, left) in enumerate(tried):
             if (hit := self._nearest(words)) is not None:
@@ -339,6 +342,12 @@ class Matcher:
         return min(ranked, key=lambda r: (*r[:5], r[5] or "")) if ranked else None
 
 
+@F.pandas_udf(T.StringType())
+def _same_name(names: pd.Series) -> pd.Series:
+    """What names that are weighed against each other have in common: their letters and numbers."""
+    return names.map(lambda n: "|".join([(p := _parts(tokens(simplify(n))))[0], *p[1]]))
+
+
 _MATCHERS: OrderedDict[str, Matcher] = OrderedDict()
 
 
@@ -351,7 +360,7 @@ def _matcher(name: str, shared) -> Matcher:
     return _MATCHERS[name]
 
 
-def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame, providers: DataFrame | None = None, own_provider: str | None = None, max_entries: int = MAX_ENTRIES, max_providers: int = MAX_PROVIDERS) -> DataFrame:
+def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame, providers: DataFrame | None = None, own_provider: str | None = None, max_entries: int = MAX_ENTRIES, max_providers: int = MAX_PROVIDERS, fillers: frozenset[str] = FILLERS, remark: re.Pattern = REMARK) -> DataFrame:
     """(key, raw, target, distance): for each row of `values` the target of the entry that is meant, or UNMATCHED.
 
     entries: (name, target, n); a null target is a name that stands for nothing, n how often the entry is referred to. A name with
@@ -359,7 +368,8 @@ def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame,
     and unreadable values are unmatched. Rows are matched where they lie; up to `max_entries` entries, counted first,
     go to the tasks at once, and longer lists are taken in passes, over which hits are ranked as in one; a pass's hits are written before the next part
     is sent, so that the driver holds one part at a time. providers: (provider), names that may
-    stand before a value.
+    stand before a value. fillers: words at the ends of a value, and remark: a pattern of settings and scores, that say nothing about which entry is meant; further readings
+    leave them out.
     """
     rows = values.select(F.col(key).alias("key"), F.col(raw).alias("raw"), (F.col(own_provider) if own_provider else F.lit(None).cast("string")).alias("own"))
     # matching costs far more time than its rows weigh, so they are spread by number, which adaptive execution leaves as it is; by a hash of
@@ -369,17 +379,17 @@ def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame,
     named = providers.select("provider").where("provider is not null").distinct() if providers is not None else None
     names = named.limit(max_providers + 1).collect() if named is not None else []
     known, many = [r.provider for r in names], len(names) > max_providers
-    rows = _with_near_providers(rows, named) if many else rows.withColumn("near", F.lit(None).cast("array<string>"))
+    rows = _with_near_providers(rows, named, fillers, remark) if many else rows.withColumn("near", F.lit(None).cast("array<string>"))
     known = [] if many else known
     found = entries.select("name", "target", "n").where("name is not null").distinct()
     passes = max(1, -(-found.count() // max_entries))
     if passes > 1:  # names with the same letters and numbers are weighed against each other in one pass
-        found = found.withColumn("part", F.pmod(F.xxhash64(F.udf(lambda n: "|".join([(p := _parts(tokens(simplify(n))))[0], *p[1]]))("name")), F.lit(passes)))
+        found = found.withColumn("part", F.pmod(F.xxhash64(_same_name("name")), F.lit(passes)))
     spark, out = values.sparkSession, None
     schema = f"key {dict(rows.dtypes)['key']}, raw string, reordered boolean, distance double, left_out int, place int, rare bigint, target string"
     for i in range(passes):
         part = [(r.name, r.target, r.n or 0) for r in (found.where(F.col("part") == i) if passes > 1 else found).collect()]
-        shared = spark.sparkContext.broadcast((part, known))
+        shared = spark.sparkContext.broadcast((part, known, fillers, remark))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, held=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
             matcher = _matcher(held, shared)
@@ -399,18 +409,18 @@ def map_to_canonical(values: DataFrame, key: str, raw: str, entries: DataFrame,
     return out.select(F.col("key").alias(key), F.col("raw").alias(raw), F.coalesce("target", F.lit(UNMATCHED)).alias("target"), "distance")
 
 
-def _with_near_providers(rows: DataFrame, named: DataFrame) -> DataFrame:
+def _with_near_providers(rows: DataFrame, named: DataFrame, fillers: frozenset[str], remark: re.Pattern) -> DataFrame:
     """rows with `near`, the providers, as words, that may stand before or after a reading; a shuffle join, for providers too many to send about."""
-    words = F.udf(lambda p: " ".join(tokens(simplify(p))))
+    words = F.pandas_udf(lambda names: names.map(lambda p: " ".join(tokens(simplify(p)))), "string")
     held = named.select(words("provider").alias("asked")).where("asked <> ''").distinct()
     lengths = [r.n for r in held.select(F.size(F.split("asked", " ")).alias("n")).distinct().collect()]  # bounded by the longest provider
 
     def asked(raw: str | None) -> list[str]:
         out = Asked()
         if raw and raw.strip():
-            readings(raw, out, lengths)
+            readings(raw, out, lengths, fillers, remark)
         return [" ".join(x) for x in out]
 
-    sought = rows.select("raw").distinct().select("raw", F.explode(F.udf(asked, "array<string>")("raw")).alias("asked")).join(held, "asked", "left_semi")
+    sought = rows.select("raw").distinct().select("raw", F.explode(F.pandas_udf(lambda raws: raws.map(asked), "array<string>")("raw")).alias("asked")).join(held, "asked", "left_semi")
     near = sought.groupBy("raw").agg(F.collect_set("asked").alias("near"))
     return rows.join(near, "raw", "left").select("key", "raw", "own", "near")
