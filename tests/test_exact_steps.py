@@ -86,3 +86,23 @@ def test_fragments_are_whole(spark):
     df = spark.createDataFrame([(1, page), (2, None)], "p int, h string")
     assert pages.page_fragments(df, "p", "h").where("source_kind = 'script_text'").count() == 2
     assert pages.page_fragments(df, "p", "h", compared=200).where("source_kind = 'script_text'").count() == 1
+
+
+@pytest.mark.parametrize("share", [0.03, 0.2, 0.5, 1.0, 1 / 3])
+def test_heavy_by_ranks(spark, share):
+    """The selected ranks hit every key that has the share, at the very bound too, and no other key comes out."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, "a", "a", "b", *[f"k{i}" for i in range(40)]]),) for _ in range(1500)] + [("exact",)] * 300
+    for part in (rows, [("exact",)] * 3 + [(f"x{i}",) for i in range(97)], [("one",)], [(None,)], []):
+        df = spark.createDataFrame(part, "k string")
+        got = {r.key: (r.n, r.total) for r in keyfigures.heavy_by_ranks(df, "k", share, bins=8).collect()}
+        counts = {k: sum(x == k for (x,) in part) for (k,) in part if k is not None}
+        assert got == {k: (n, len(part)) for k, n in counts.items() if n >= keyfigures._ceil(share, len(part))}
+
+
+def test_select_ranks(spark):
+    rng = random.Random(8)
+    values = {k: sorted(rng.choice([rng.randrange(-5, 5), rng.randrange(-(2**62), 2**62)]) for _ in range(400)) for k in "ab"}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "key string, v bigint")
+    ranks = [(k, r) for k in "ab" for r in (1, 2, 57, 200, 399, 400)]
+    assert keyfigures.select_ranks(df, {k: (v[0], v[-1]) for k, v in values.items()}, ranks, 16) == {(k, r): values[k][r - 1] for k, r in ranks}

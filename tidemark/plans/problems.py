@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import norm_id, norm_name
-from tidemark.operators.keyfigures import key_figures, key_quantiles
+from tidemark.operators.keyfigures import heavy_by_ranks, key_figures, key_quantiles
 from tidemark.operators.listfield import split_list_field
 from tidemark.operators.orphans import Child, orphan_counts, orphan_rows
-from tidemark.operators.sizes import heavy_keys
 from tidemark.sources.tables import load
 
 #: Share of all mentions from which a benchmark is called heavy.
@@ -31,7 +30,7 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Ids with at least 3 percent of all rows of mentions."""
     ids = load(spark, d, "mentions").select(norm_id("benchmark_id").alias("benchmark_id"))
-    return heavy_keys(ids, "benchmark_id", HEAVY_SHARE).select(F.col("key").alias("benchmark_id"))
+    return heavy_by_ranks(ids, "benchmark_id", HEAVY_SHARE).select(F.col("key").alias("benchmark_id"))
 
 
 def p2_figures(spark: SparkSession, d: str) -> DataFrame:
